@@ -1,0 +1,124 @@
+"""Whether each incoming key was seen before, by filters over sealed batches of earlier keys.
+
+The history is sealed in a few generations and the arrivals in a few batches; each (part, key
+bucket) has one immutable peeling filter of about 20 bits a key (``functions.xorfilter``), the only
+trace of earlier keys that probing needs. A key of the current batch is compared exactly with that
+batch and probed in the filters of the history and of all earlier batches. Filters have no false
+negatives, so only positives are checked against the keys themselves.
+
+Every group by key is pre-aggregated before the shuffle, so that a key with a third of all rows
+weighs one row per batch. Buckets grow with the data and keep a filter below ``BUCKET_KEYS`` keys.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from ..functions import xorfilter
+from ..shared import materialize
+
+#: Keys of one part in one bucket, about; it sets the number of buckets.
+BUCKET_KEYS = 200_000
+GENERATIONS, BATCHES = 4, 8
+
+
+@dataclass
+class Seen:
+    """firsts: ``key, batch, first, part_hits, prior`` of each key's first row in each batch, where
+    ``part_hits`` is the number of filters that may hold it and ``prior`` whether the exact check
+    found it; arrivals: distinct ``(probe_id)``; filters: ``part, bucket, n_keys, seed, cells``."""
+
+    arrivals: DataFrame
+    firsts: DataFrame
+    filters: DataFrame
+    generations: int
+    batches: int
+
+
+def _slot(col, lo, hi, n: int):
+    """The part of [lo, hi] that a number lies in, of n equal ones."""
+    width = max(1, -(-(hi - lo + 1) // n))
+    return F.least(F.lit(n - 1), F.floor((col - F.lit(lo)) / F.lit(width)).cast("int"))
+
+
+def _span(df: DataFrame, col: str) -> tuple[int, int]:
+    lo, hi = df.agg(F.min(col), F.max(col)).first()
+    return (lo, hi) if lo is not None else (0, 0)
+
+
+def _build(key: tuple, table: pa.Table) -> pa.Table:
+    hashes = table.column("h").to_numpy()
+    seed, cells = xorfilter.build(hashes)
+    part, bucket = (x.as_py() for x in key)
+    return pa.table({"part": pa.array([part], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "n_keys": pa.array([len(hashes)], pa.int64()), "seed": pa.array([seed], pa.int32()), "cells": pa.array([cells], pa.binary())})
+
+
+def _probe(generations: int):
+    def run(key: tuple, firsts: pa.Table, filters: pa.Table) -> pa.Table:
+        h, batch = firsts.column("h").to_numpy(), firsts.column("batch").to_numpy()
+        hits = np.zeros(len(h), np.int32)
+        for part, seed, cells in zip(filters.column("part").to_pylist(), filters.column("seed").to_pylist(), filters.column("cells").to_pylist()):
+            at = np.arange(len(h)) if part < generations else np.flatnonzero(batch > part - generations)
+            if len(at):
+                hits[at] += xorfilter.contains(seed, cells, h[at])
+        return firsts.select(["key", "batch", "first"]).append_column("part_hits", pa.array(hits))
+
+    return run
+
+
+def seen_before(incoming: DataFrame, history: DataFrame, *, id_col: str = "probe_id", key_col: str = "key", history_key: str = "key", history_order: str = "run_id", generations: int = GENERATIONS, batches: int = BATCHES, bucket_keys: int = BUCKET_KEYS) -> Seen:
+    """Filter, probe and check ``incoming`` against ``history`` and against itself.
+
+    Order of arrival is ``id_col``. Repeated rows (same id, same key) count once. Rows with a NULL
+    key or id are left out; the empty key is a key. NULL keys of the history are left out and a
+    NULL ``history_order`` falls in the first generation. Either table may be empty. Only the
+    named columns are read, so other columns and their names don't matter.
+    """
+    rows = incoming.select(F.col(id_col).alias("id"), F.col(key_col).alias("key")).where("id is not null and key is not null")
+    past = history.select(F.col(history_key).alias("key"), F.col(history_order).alias("at")).where("key is not null")
+    (lo, hi), (past_lo, past_hi) = _span(rows, "id"), _span(past, "at")
+    buckets = max(1, -(-max(history.count() // generations, incoming.count() // batches) // bucket_keys))
+    hashed = lambda df: df.withColumn("h", F.xxhash64("key")).withColumn("bucket", F.pmod(F.hash("key"), F.lit(buckets)).cast("int"))
+
+    firsts = materialize(hashed(rows.withColumn("batch", _slot(F.col("id"), lo, hi, batches)).groupBy("key", "batch").agg(F.min("id").alias("first"))), "seen-firsts")
+    known = materialize(hashed(past.withColumn("part", F.coalesce(_slot(F.col("at"), past_lo, past_hi, generations), F.lit(0))).groupBy("key").agg(F.collect_set("part").alias("parts"))), "seen-history")
+
+    sealed = known.select(F.explode("parts").alias("part"), "bucket", "h").union(firsts.where(F.col("batch") < batches - 1).select((F.col("batch") + generations).alias("part"), "bucket", "h"))
+    filters = materialize(sealed.groupBy("part", "bucket").applyInArrow(_build, "part int, bucket int, n_keys long, seed int, cells binary"), "seen-filters")
+    probed = materialize(firsts.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(_probe(generations), "key binary, batch int, first long, part_hits int"), "seen-probed")
+
+    positive = probed.where("part_hits > 0")
+    since = known.select("key", F.lit(-1).alias("batch")).union(firsts.select("key", "batch")).groupBy("key").agg(F.min("batch").alias("since"))
+    checked = positive.join(since, "key").select("key", "batch", "first", "part_hits", (F.col("since") < F.col("batch")).alias("prior"))
+    return Seen(rows.select(F.col("id").alias(id_col)).distinct(), probed.where("part_hits = 0").withColumn("prior", F.lit(False)).unionByName(checked), filters, generations, batches)
+
+
+def found(seen: Seen) -> DataFrame:
+    """The ids of rows whose key was there before: all but each new key's first row."""
+    id_col = seen.arrivals.columns[0]
+    new = seen.firsts.where(~F.col("prior")).select(F.col("first").alias(id_col))
+    return seen.arrivals.join(new, id_col, "left_anti")
+
+
+def error_rates(seen: Seen) -> DataFrame:
+    """One row per batch: how many filters its keys meet, and expected and measured wrong answers.
+
+    ``expected_rate`` compounds the filters; ``measured_rate`` is the share of new keys that some
+    filter took for an old one (all of them caught by the exact check; NULL without new keys).
+    """
+    expected = F.create_map(*(x for b in range(seen.batches) for x in (F.lit(b), F.lit(float(xorfilter.compounded(seen.generations + b))))))
+    wrong = (F.col("part_hits") > 0) & ~F.col("prior")
+    return (
+        seen.firsts.groupBy("batch")
+        .agg(F.count("*").alias("keys"), F.sum((~F.col("prior")).cast("long")).alias("new_keys"), F.sum(wrong.cast("long")).alias("wrong"))
+        .select("batch", (F.col("batch") + seen.generations).alias("filters"), "keys", "new_keys", "wrong", expected[F.col("batch")].alias("expected_rate"), F.expr("wrong / nullif(new_keys, 0)").alias("measured_rate"))
+    )
+
+
+def filter_sizes(seen: Seen) -> DataFrame:
+    """One row per part: keys, bytes of its filters and bits a key."""
+    return seen.filters.groupBy("part").agg(F.sum("n_keys").alias("keys"), F.sum(F.length("cells").cast("long")).alias("bytes")).withColumn("bits_a_key", F.col("bytes") * 8 / F.col("keys"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import maintenance
+
 
 def queries() -> dict:
-    return {}
+    return {**maintenance.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**maintenance.oracle_sql()}
