@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import tokens
+from . import leaks, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +20,18 @@ def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.texts_of(p6_ids(spark, sf_dir)).select("doc_id", F.col("text").alias("decoded"))
 
 
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each leaked item of each page with how much is printed and whether question and answer are there."""
+    rows = leaks.leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
+    return rows.withColumn("score", F.round("score", 3)).withColumn("question_share", F.round("question_share", 3))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p6_ids, p6_roundtrip)}
+    return {f.__name__: f for f in (p6_ids, p6_roundtrip, p7_found, p7_leaks)}
 
 
 def oracle_sql() -> dict[str, str]:
