@@ -45,3 +45,14 @@ def fragments(text: str) -> list[str]:
 
 def words(text: str) -> list[str]:
     return _WORD.findall(text)
+
+
+_SPLIT = re.compile(r"[\W_]+")
+
+
+def fold_words(text: str) -> list[str]:
+    """The folded words of a text, in order."""
+    s = text.lower().translate(_TABLE)
+    for a, b in _PAIRS:
+        s = s.replace(a, b)
+    return [w for w in _SPLIT.split(s) if w]

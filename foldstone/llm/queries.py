@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import leaks, tokens
+from . import leaks, tokens, topics
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,8 +30,26 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
+def _fitted(spark: SparkSession, sf_dir: str) -> topics.Fitted:
+    return topics.fit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "subject_areas"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fitted(spark, sf_dir).subjects().select("doc_id", "subject")
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the corpus is made of: pages and words of each subject."""
+    return _fitted(spark, sf_dir).subjects().groupBy("subject").agg(F.count("*").alias("pages"), F.round(F.sum("words"), 0).alias("words"))
+
+
+def p8_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each fitted topic with its subject and top terms."""
+    return _fitted(spark, sf_dir).topics()
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p6_ids, p6_roundtrip, p7_found, p7_leaks)}
+    return {f.__name__: f for f in (p6_ids, p6_roundtrip, p7_found, p7_leaks, p8_found, p8_mix, p8_topics)}
 
 
 def oracle_sql() -> dict[str, str]:
