@@ -12,13 +12,13 @@ of all changes reaches its state as one row per task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.ledger import type_letter
 from ..shared import work_dir
 
 #: LSNs of one chunk; markers are looked up within chunks, and chunks among each other.
-CHUNK = 4096
+CHUNK = 16384
 KEYS = ["feed", "store_id", "key"]
 CHANGES = "feed string, store_id int, key binary, seq long, live boolean, value binary"
 
@@ -39,18 +39,14 @@ def effective_log(wal: DataFrame, chunk: int = CHUNK) -> DataFrame:
     log = top.select("store_id", "chunk", "lsn", "r.letter", "r.key", "r.value").withColumn("marker", F.when(F.col("letter").isin("B", "E"), F.col("letter")))
     ends = log.where("marker is not null").groupBy("store_id", "chunk").agg(F.max_by("marker", "lsn").alias("last_in"), F.min_by("marker", "lsn").alias("first_in"))
     here = log.select("store_id", "chunk").distinct().join(ends, ["store_id", "chunk"], "left")
-    by_chunk = Window.partitionBy("store_id").orderBy("chunk")
-    carried = here.select(
-        "store_id",
-        "chunk",
-        F.last("last_in", ignorenulls=True).over(by_chunk.rowsBetween(Window.unboundedPreceding, -1)).alias("carry_before"),
-        F.first("first_in", ignorenulls=True).over(by_chunk.rowsBetween(1, Window.unboundedFollowing)).alias("carry_after"),
-    )
-    within = Window.partitionBy("store_id", "chunk").orderBy("lsn")
+    # lag and lead that skip NULLs take one pass; a frame up to the last row would be read again for each row
+    near = "{}({}) IGNORE NULLS OVER (PARTITION BY store_id{} ORDER BY {})"
+    by_chunk = lambda f, c: F.expr(near.format(f, c, "", "chunk"))
+    within = lambda f: F.expr(near.format(f, "marker", ", chunk", "lsn"))
+    carried = here.select("store_id", "chunk", by_chunk("lag", "last_in").alias("carry_before"), by_chunk("lead", "first_in").alias("carry_after"))
     seen = log.join(carried, ["store_id", "chunk"]).select(
         "store_id", "lsn", "letter", "key", "value",
-        F.coalesce(F.last("marker", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, -1)), "carry_before").alias("before"),
-        F.coalesce(F.first("marker", ignorenulls=True).over(within.rowsBetween(1, Window.unboundedFollowing)), "carry_after").alias("after"),
+        F.coalesce(within("lag"), F.col("carry_before")).alias("before"), F.coalesce(within("lead"), F.col("carry_after")).alias("after"),
     )
     return seen.where("letter in ('P', 'D') and key is not null and (before is null or before = 'E' or after = 'E')").drop("before", "after")
 
