@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import maintenance
+from . import kv_queries, maintenance
 
 
 def queries() -> dict:
-    return {**maintenance.queries()}
+    return {**kv_queries.QUERIES, **maintenance.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**maintenance.oracle_sql()}
+    return {**kv_queries.SQL, **maintenance.oracle_sql()}

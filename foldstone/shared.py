@@ -60,6 +60,10 @@ class Folder:
             return {}
         return {s.getPath().getName(): s.getLen() for s in self._fs.listStatus(at)}
 
+    def modified(self, name: str) -> float:
+        """Time of the last change in seconds."""
+        return self._fs.getFileStatus(self._path(name)).getModificationTime() / 1000
+
     def exists(self, name: str) -> bool:
         return self._fs.exists(self._path(name))
 
