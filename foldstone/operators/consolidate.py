@@ -85,7 +85,7 @@ def consolidate(meta: DataFrame, entries: DataFrame, small_run: int = SMALL_RUN,
     """
     inputs = materialize(small_runs(meta, small_run).select("id", "store_id", "level"), "consolidate-inputs")
     size = F.coalesce(encoded_bytes(F.col("key"), F.col("value"), F.col("op")), F.lit(5))
-    picked = entries.join(inputs, F.col("run_id") == F.col("id")).select("store_id", "level", size.alias("size"), "run_id", "key", "value", "op")
+    picked = entries.select("run_id", "key", "value", "op").join(inputs, F.col("run_id") == F.col("id")).select("store_id", "level", size.alias("size"), "run_id", "key", "value", "op")
     # two readings of the picked entries are cheaper than writing them once more
     before = materialize(_checksum(picked).withColumn("bytes", F.lit(None).cast("long")), "consolidate-before")
     total = picked.agg(F.sum("size")).first()[0] or 0
