@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.ledger import type_letter
-from ..shared import work_dir
+from ..shared import Folder, work_dir
 
 #: LSNs of one chunk; markers are looked up within chunks, and chunks among each other.
 CHUNK = 16384
@@ -73,12 +73,15 @@ def apply_changes(stream: DataFrame, out: str, checkpoint: str) -> None:
     newest = F.max(F.struct("seq", "live", "value")).alias("s")
 
     def upsert(df: DataFrame, batch: int) -> None:
-        df.select(*KEYS, "s.seq", "s.live", "s.value").write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        df.select(*KEYS, "s.seq", "s.live", "s.value").write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/batch={batch}")
 
     wanted = {
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
+        # a batch adds its changes to the state's log instead of uploading whole files, and old versions go soon
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        "spark.sql.streaming.minBatchesToRetain": "2",
     }
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
@@ -98,15 +101,16 @@ def current_table(spark: SparkSession, out: str) -> DataFrame:
     return rows.groupBy(*KEYS).agg(newest).select(*KEYS, "s.seq", "s.live", "s.value")
 
 
-def rebuild(changes: DataFrame, files: int = 8, batches: int = 4) -> DataFrame:
+def rebuild(changes: DataFrame, batches: int = 3) -> DataFrame:
     """Feed ``changes`` through the stream in about so many micro-batches; returns the current table.
 
     Of two changes with one number the put wins, then the greater value. Empty feeds give no rows.
     """
     spark = changes.sparkSession
     base = work_dir(spark, "cdc")
-    changes.repartition(files).write.parquet(f"{base}/feed")
-    stream = spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", max(1, files // batches)).parquet(f"{base}/feed")
+    changes.write.option("compression", "zstd").parquet(f"{base}/feed")
+    files = sum(name.endswith(".parquet") for name in Folder(spark, base).list("feed"))
+    stream = spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(f"{base}/feed")
     spark.createDataFrame([], f"{CHANGES}").write.mode("overwrite").parquet(f"{base}/table/batch=-1")
     apply_changes(stream, f"{base}/table", f"{base}/checkpoint")
     return current_table(spark, f"{base}/table")
