@@ -24,6 +24,8 @@ GRAM, BLOCK = 9, 16
 K1, B = 1.2, 0.75
 #: Least score of a page for an item to be aligned. A run of 15 words has about 75 terms of weight 4 to 6.
 THRESHOLD = 100.0
+#: Least number of items that weights are made for, so that a block of few items has scores like those of many.
+ITEMS = 250
 #: Words that must be printed one after another.
 RUN = 15
 
@@ -38,8 +40,8 @@ class Index:
             for j in range(len(f) - GRAM + 1):
                 row = counts[f[j : j + GRAM]]
                 row[k] = row.get(k, 0) + 1
-        n = max(1, len(passages))
-        mean = sum(map(len, self.folded)) / n or 1
+        n = max(ITEMS, len(passages))
+        mean = sum(map(len, self.folded)) / max(1, len(passages)) or 1
         norm = [K1 * (1 - B + B * len(f) / mean) for f in self.folded]
         #: term -> (items ascending, impacts, blocks, greatest impact in each block)
         self.post: dict[str, tuple] = {}
@@ -53,7 +55,7 @@ class Index:
                     best[k // BLOCK] = max(best.get(k // BLOCK, 0.0), x)
                 self.post[term] = items, impacts, list(best), list(best.values())
         self.terms = self.post.keys()
-        self.blocks = -(-n // BLOCK)
+        self.blocks = -(-max(1, len(passages)) // BLOCK)
 
     def search(self, folded: str, threshold: float = THRESHOLD) -> list[tuple[int, float]]:
         """All (item, score) with a score of at least ``threshold``."""
@@ -108,13 +110,16 @@ class Index:
 SEED, PIECE = 5, 8
 #: Letters that may be unread between two pieces that continue one another, and by how many the page may have more or fewer there.
 HOLE, SHIFT = 10, 4
+#: Letters beside the seeds of a diagonal that are compared.
+MARGIN = 16
 #: Share of a stretch's letters that must be equal after folding.
 READ = 0.85
 
 
-def _pieces(page: np.ndarray, item: np.ndarray, diagonal: int) -> list[tuple[int, int, int]]:
-    """Stretches, with their numbers of equal letters, of ``item`` that ``page`` prints on one diagonal (item position minus page position)."""
-    lo, hi = max(0, diagonal), min(len(item), len(page) + diagonal)
+def _pieces(page: np.ndarray, item: np.ndarray, diagonal: int, first: int, last: int) -> list[tuple[int, int, int]]:
+    """Stretches, with their numbers of equal letters, of ``item`` that ``page`` prints on one diagonal (item position
+    minus page position), around its seeds from ``first`` to ``last``."""
+    lo, hi = max(0, diagonal, first - MARGIN), min(len(item), len(page) + diagonal, last + SEED + MARGIN)
     same = page[lo - diagonal : hi - diagonal] == item[lo:hi]
     out, start, score, best, stop = [], lo, 0, 0, lo
     for i, equal in enumerate([*same.tolist(), None], lo):
@@ -133,14 +138,14 @@ def _aligned(page_fragments: list[str], item: str, seeds: dict[str, list[int]])
     out = []
     target = np.frombuffer(item.encode("utf-32-le"), np.uint32)
     for n, f in enumerate(page_fragments):
-        hits: dict[int, int] = defaultdict(int)
+        hits: dict[int, list[int]] = defaultdict(list)
         for j in range(len(f) - SEED + 1):
             for p in seeds.get(f[j : j + SEED], ()):
-                hits[p - j] += 1
-        strong = [d for d, k in hits.items() if k >= 2]
+                hits[p - j].append(p)
+        strong = [(d, at) for d, at in hits.items() if len(at) >= 2]
         if strong:
             page = np.frombuffer(f.encode("utf-32-le"), np.uint32)
-            out += [(a, b, n, a - d, len(f) - (b - d), same) for d in strong for a, b, same in _pieces(page, target, d)]
+            out += [(a, b, n, a - d, len(f) - (b - d), same) for d, at in strong for a, b, same in _pieces(page, target, d, at[0], at[-1])]
     return sorted(set(out))
 
 
@@ -170,17 +175,44 @@ def longest_print(page_fragments: list[str], item: str, seeds: dict[str, list[in
     pieces = _aligned(page_fragments, item, seeds)
     tiny = [f for f in page_fragments if 0 < len(f) <= HOLE]
     begin, equal = [p[0] for p in pieces], [p[5] for p in pieces]
+    by_end: dict[int, list[int]] = defaultdict(list)
     best = (0, 0)
     for i, y in enumerate(pieces):
-        for k in range(i):
+        slot = y[0] // (HOLE + 1)
+        for k in [*by_end[slot - 1], *by_end[slot], *by_end[slot + 1]]:
             x = pieces[k]
-            if begin[k] < begin[i] and x[1] < y[1] and _continues(x, y, page_fragments, tiny, item):
-                begin[i], equal[i] = begin[k], equal[k] + y[5] - max(0, x[1] - y[0])
+            if begin[k] <= begin[i] and x[1] < y[1] and _continues(x, y, page_fragments, tiny, item):
+                same = equal[k] + y[5] - max(0, x[1] - y[0])
+                # a stretch must be well read at each step, lest a long bad one hides a good one
+                if (-begin[k], same) > (-begin[i], equal[i]) and same >= READ * (y[1] - begin[k]):
+                    begin[i], equal[i] = begin[k], same
+        by_end[y[1] // (HOLE + 1)].append(i)
         if y[1] - begin[i] > best[1] - best[0] and equal[i] >= READ * (y[1] - begin[i]):
             best = begin[i], y[1]
     return best
 
 
+#: Letters of one passage of a page, and of one fragment. Passages overlap by half, so what is printed within half of one is whole in some passage.
+PASSAGE, FRAGMENT = 12_000, 400
+
+
+def passages(page_fragments: list[str]):
+    """The passages of a page, as lists of fragments: one for a page of usual length. Long fragments are cut."""
+    short = [f[i : i + FRAGMENT] for f in page_fragments for i in range(0, len(f), FRAGMENT)]
+    start = 0
+    while start < len(short):
+        end, letters, half = start, 0, start + 1
+        while end < len(short) and (letters < PASSAGE or end == start):
+            letters += len(short[end])
+            end += 1
+            if letters < PASSAGE // 2:
+                half = end
+        yield short[start:end]
+        if end == len(short):
+            break
+        start = max(half, start + 1)
+
+
 def seeds_of(item: str) -> dict[str, list[int]]:
     out: dict[str, list[int]] = defaultdict(list)
     for j in range(len(item) - SEED + 1):
@@ -223,18 +255,18 @@ class Searcher:
 
     def page(self, text: str, run: int, threshold: float):
         """(item id, words printed, words of the passage, score, share of the question's words on the page, whether its answer is there)."""
-        folded = fold(text)
-        candidates = self.index.search(folded, threshold)
-        if not candidates:
-            return
-        pieces = [fold(f) for f in fragments(text)]
-        for k, score in candidates:
-            n = words_in(longest_print(pieces, self.index.folded[k], self.seeds[k]), self.ends[k])
-            if n >= run:
-                for item_id, question, answer in self.owners[k]:
-                    asked = [fold(w) for w in words(question or "")]
-                    share = sum(w in folded for w in asked) / len(asked) if asked else None
-                    yield item_id, n, len(self.ends[k]), score, share, (fold(answer) in folded if answer and fold(answer) else None)
+        best: dict[int, tuple[int, float]] = {}
+        for pieces in passages([fold(f) for f in fragments(text)]):
+            for k, score in self.index.search("".join(pieces), threshold):
+                n = words_in(longest_print(pieces, self.index.folded[k], self.seeds[k]), self.ends[k])
+                if n >= run and (n, score) > best.get(k, (0, 0.0)):
+                    best[k] = n, score
+        folded = fold(text) if best else ""
+        for k, (n, score) in best.items():
+            for item_id, question, answer in self.owners[k]:
+                asked = [fold(w) for w in words(question or "")]
+                share = sum(w in folded for w in asked) / len(asked) if asked else None
+                yield item_id, n, len(self.ends[k]), score, share, (fold(answer) in folded if answer and fold(answer) else None)
 
 
 _LOADED: dict[int, Searcher] = {}

@@ -12,7 +12,7 @@ MARKED = {
     "s": "ſß", "y": "ýÿ", "ae": "æ", "oe": "œ", "fi": "ﬁ", "fl": "ﬂ",
 }
 #: Pairs of letters that scanners make of one letter.
-PAIRS = (("rn", "m"), ("nn", "m"), ("vv", "w"), ("cl", "d"))
+PAIRS = (("nn", "m"), ("rn", "m"), ("vv", "w"), ("cl", "d"))
 
 
 def _tables() -> tuple[dict[int, str], list[tuple[str, str]]]:
