@@ -1,0 +1,37 @@
+import pytest
+
+from foldstone.llm import queries as q
+from tables import order, rows
+
+
+@pytest.mark.parametrize("name", sorted(q.oracle_sql()))
+def test_query_matches_sql(spark, data, duck, name):
+    df = q.queries()[name](spark, data)
+    columns = sorted(df.columns)
+    assert rows(df, *columns) == order(duck.execute(f"SELECT {', '.join(columns)} FROM ({q.oracle_sql()[name]})").fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(set(q.queries()) - set(q.oracle_sql())))
+def test_query_runs(spark, data, name):
+    assert q.queries()[name](spark, data).count() > 0
+
+
+def test_nothing_outside_imports_the_subpackage():
+    from pathlib import Path
+
+    root = Path(q.__file__).resolve().parents[1]
+    outside = [p for p in root.rglob("*.py") if "llm" not in p.relative_to(root).parts]
+    assert outside and not [p for p in outside if "llm" in p.read_text()]
+
+
+def test_the_core_runs_without_the_subpackage(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = Path(q.__file__).resolve().parents[2]
+    shutil.copytree(repo / "foldstone", tmp_path / "foldstone", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(repo / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'p1_found' in q and 'p6_ids' not in q"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
