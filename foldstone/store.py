@@ -92,10 +92,10 @@ class Store:
         value = F.when(op == PUT, F.coalesce(F.col("value"), F.lit(bytearray()))) if "value" in df.columns else F.lit(None).cast("binary")
         cols = [F.col("key"), op.alias("op"), value.alias("value")]
         ops = df.select(*cols, *([F.col(order).alias("_order")] if order else []))
-        if bad := ops.where("key is null or op is null or op not in (0, 1)").limit(1).count():
-            raise InvalidWrite(f"{bad} or more rows have no key or no operation")
-        if ops.where(F.length("key") + F.coalesce(F.length("value"), F.lit(0)) > self.options.max_record).limit(1).count():
-            raise InvalidWrite(f"a record has more than {self.options.max_record} bytes")
+        large = F.length("key") + F.coalesce(F.length("value"), F.lit(0)) > self.options.max_record
+        odd = ops.agg(F.count_if(F.expr("key is null or op is null or op not in (0, 1)")).alias("bad"), F.count_if(large).alias("large")).first()
+        if odd.bad or odd.large:
+            raise InvalidWrite(f"{odd.bad} rows have no key or no operation, {odd.large} have more than {self.options.max_record} bytes")
         if order:
             ops = fold.latest(ops, seq="_order").drop("_order")
         elif ops.groupBy("key").count().where("count > 1").limit(1).count():
