@@ -74,7 +74,7 @@ class Consolidated:
 
 def _checksum(df: DataFrame) -> DataFrame:
     h = F.xxhash64("run_id", F.col("key").isNull(), "key", F.col("value").isNull(), "value", F.col("op").isNull(), "op")
-    return df.groupBy("store_id", "level").agg(F.count("*").alias("n"), F.sum(F.shiftrightunsigned(h, 32)).alias("a"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("b"))
+    return df.groupBy("store_id", "level").agg(F.count("*").alias("n"), F.sum(F.shiftrightunsigned(h, 32)).alias("a"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("b"), F.sum("size").alias("bytes"))
 
 
 def consolidate(meta: DataFrame, entries: DataFrame, small_run: int = SMALL_RUN, target_run: int = TARGET_RUN, range_bytes: int = RANGE_BYTES) -> Consolidated:
@@ -86,9 +86,8 @@ def consolidate(meta: DataFrame, entries: DataFrame, small_run: int = SMALL_RUN,
     inputs = materialize(small_runs(meta, small_run).select("id", "store_id", "level"), "consolidate-inputs")
     size = F.coalesce(encoded_bytes(F.col("key"), F.col("value"), F.col("op")), F.lit(5))
     picked = entries.select("run_id", "key", "value", "op").join(inputs, F.col("run_id") == F.col("id")).select("store_id", "level", size.alias("size"), "run_id", "key", "value", "op")
-    # two readings of the picked entries are cheaper than writing them once more
-    before = materialize(_checksum(picked).withColumn("bytes", F.lit(None).cast("long")), "consolidate-before")
-    total = picked.agg(F.sum("size")).first()[0] or 0
+    before = materialize(_checksum(picked), "consolidate-before")
+    total = before.agg(F.sum("bytes")).first()[0] or 0
     ranges = max(1, -(-total // range_bytes))
     order = ["store_id", "level", "key", "run_id"]
     merged = picked.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
@@ -98,8 +97,7 @@ def consolidate(meta: DataFrame, entries: DataFrame, small_run: int = SMALL_RUN,
     out = entries.sparkSession.read.schema("store_id int, level int, size long, run_id long, key binary, value binary, op tinyint, roll long, part int").parquet(path)
 
     after = _checksum(out)
-    cols = ["store_id", "level", "n", "a", "b"]
-    if wrong := before.select(cols).exceptAll(after.select(cols)).union(after.select(cols).exceptAll(before.select(cols))).take(5):
+    if wrong := before.exceptAll(after).union(after.exceptAll(before)).take(5):
         raise RuntimeError(f"entries changed in {wrong}")
     first = F.min(F.struct("key", "run_id"))
     runs = out.groupBy("part", "roll", "store_id", "level").agg(
