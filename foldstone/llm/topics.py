@@ -8,9 +8,10 @@ subject and some topics are left free for what pages have in common (names, week
 After the fit, a topic belongs to the subject whose inspected terms are most among its top
 terms, or to none; a page treats the subjects whose topics take enough of its words.
 
-Very common words (most of adverts among them) and rare ones (most names and misreadings) are left
-out of the vocabulary by their share of the pages, so it doesn't grow with the corpus: words
-with a share of at least ``MIN_SHARE`` are at most (distinct words of a mean page) / ``MIN_SHARE``.
+Each language has its own vocabulary. A word on many of its pages is left out only if it is as common on
+pages with the inspected terms of a subject as on the others, for every subject (function words, most of adverts); a
+large subject keeps its words. Rare words (most names and misreadings) are left out by their share of the
+language's pages.
 """
 
 from __future__ import annotations
@@ -47,6 +48,9 @@ INSPECTED = {
 }
 
 MIN_SHARE, MIN_PAGES, MAX_SHARE = 0.001, 3, 0.12
+#: A word on more than MAX_SHARE of a language's pages must be so many times as common on the pages of some subject as on the rest.
+#: Pages of a subject have ANCHORS of its inspected terms; PRIOR pages of the mean share are added on both sides.
+UNEVEN, ANCHORS, PRIOR = 1.5, 2, 5
 #: Topics without a subject in each language, passes of the fit, rounds of one page's inference, priors.
 FREE, PASSES, ROUNDS, ALPHA, ETA = 4, 4, 12, 0.1, 0.05
 #: Words of a subject's topics that a page must have for the subject.
@@ -138,35 +142,47 @@ def infer(topics: np.ndarray, starts: np.ndarray, ids: np.ndarray, counts: np.nd
     return words, part
 
 
-def _chunks(batch: pa.RecordBatch, pages: int = 1000):
-    """(ids, language, starts, word ids, counts) of the pages of a batch by language, in pieces that keep inference small."""
+def _chunks(batch: pa.RecordBatch, keep: list[np.ndarray], pages: int = 1000):
+    """(ids, language, starts, word ids, counts) of the pages of a batch by language, in pieces that keep inference small.
+
+    Words that ``keep`` hasn't, and pages with no others, are left out.
+    """
     for lo in range(0, batch.num_rows, pages):
         part = batch.slice(lo, pages)
         langs = part.column(1).to_numpy()
         for lang in np.unique(langs):
             own = part.filter(pa.array(langs == lang))
-            words, counts = own.column(2), own.column(3)
-            starts = words.offsets.to_numpy()[:-1].astype(np.int64) - words.offsets[0].as_py()
-            yield own.column(0), int(lang), starts, words.flatten().to_numpy(), counts.flatten().to_numpy()
+            ids, page = _flat(own)
+            kept = keep[lang][ids]
+            present, starts = np.unique(page[kept], return_index=True)
+            if len(present):
+                yield own.column(0).take(pa.array(present)), int(lang), starts, ids[kept], own.column(3).flatten().to_numpy()[kept]
+
+
+def _flat(own: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The word ids of a batch and the row of each."""
+    words = own.column(2)
+    return words.flatten().to_numpy(), np.repeat(np.arange(own.num_rows), np.diff(words.offsets.to_numpy()))
 
 
 def _page_counts(batches):
-    """Of each batch, the number of pages that have each word."""
+    """Of each batch, the number of pages of a language that have each word; of the word '', that there are."""
     for batch in batches:
         seen: Counter = Counter()
         for text in batch.column(0).to_pylist():
-            seen.update(set(page_words(text)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "pages"])
+            if (lang := language(text)) >= 0:
+                seen.update((lang, w) for w in {"", *page_words(text)})
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.int32()), pa.array([w for _, w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "pages"])
 
 
-def _encode(vocabulary):
+def _encode(vocabularies):
     def run(batches):
-        at = {w: i for i, w in enumerate(vocabulary.value)}
+        at = [{w: i for i, w in enumerate(v)} for v in vocabularies.value]
         for batch in batches:
             rows, langs, ids, counts = [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 lang = language(text)
-                own = Counter(at[w] for w in page_words(text) if w in at) if lang >= 0 else None
+                own = Counter(at[lang][w] for w in page_words(text) if w in at[lang]) if lang >= 0 else None
                 if own:
                     rows.append(i)
                     langs.append(lang)
@@ -179,13 +195,53 @@ def _encode(vocabulary):
     return run
 
 
-def _gather(topics):
+def _spread(inspected, common):
+    """Of each subject with its inspected terms, the pages of a partition, and those with each common word (-1: all pages).
+
+    A subject one past the last stands for all pages.
+    """
+
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            langs = batch.column(1).to_numpy()
+            for lang in map(int, np.unique(langs)):
+                own = batch.filter(pa.array(langs == lang))
+                ids, page = _flat(own)
+                terms, words = inspected.value[lang], common.value[lang]
+                at = np.full(terms.shape[1], -1)
+                at[words] = np.arange(len(words))
+                asked = at[ids] >= 0
+                mine = total.setdefault(lang, np.zeros((len(terms) + 1, len(words) + 1)))
+                for s in range(len(terms) + 1):
+                    its = np.bincount(page[terms[s][ids]], minlength=own.num_rows) >= ANCHORS if s < len(terms) else np.ones(own.num_rows, bool)
+                    mine[s, :-1] += np.bincount(at[ids[asked]], weights=its[page[asked]], minlength=len(words))
+                    mine[s, -1] += its.sum()
+        for lang, sums in total.items():
+            s, w = np.nonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), lang), pa.int32()), pa.array(s, pa.int32()), pa.array(np.append(common.value[lang], -1)[w], pa.int32()), pa.array(sums[s, w])], ["lang", "subject", "word", "pages"])
+
+    return run
+
+
+def uneven(having: np.ndarray, pages: np.ndarray) -> np.ndarray:
+    """Which words are more common on the pages of some subject than on the rest.
+
+    ``having`` (subjects and all, words): pages with each word; ``pages`` (subjects and all): pages.
+    """
+    prior = PRIOR * having[-1] / max(1, pages[-1])
+    inside = (having[:-1] + prior) / (pages[:-1, None] + PRIOR)
+    outside = (having[-1] - having[:-1] + prior) / (pages[-1] - pages[:-1, None] + PRIOR)
+    return (inside >= UNEVEN * outside).any(axis=0)
+
+
+def _gather(topics, keep):
     """What a partition's pages give to each topic and word of their language."""
 
     def run(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for _, lang, starts, ids, counts in _chunks(batch):
+            for _, lang, starts, ids, counts in _chunks(batch, keep.value):
                 weights = topics.value[lang]
                 _, part = infer(weights, starts, ids, counts)
                 mine = total.setdefault(lang, np.zeros(weights.shape))
@@ -198,12 +254,12 @@ def _gather(topics):
     return run
 
 
-def _assign(topics, of_topic, subjects: list[str], least: float):
+def _assign(topics, of_topic, keep, subjects: list[str], least: float):
     """The subjects of each page, with their words and share."""
 
     def run(batches):
         for batch in batches:
-            for page_ids, lang, starts, ids, counts in _chunks(batch):
+            for page_ids, lang, starts, ids, counts in _chunks(batch, keep.value):
                 words, _ = infer(topics.value[lang], starts, ids, counts)
                 member = np.array([[s == t for s in subjects] for t in of_topic.value[lang]], np.float32)
                 got = words @ member
@@ -220,8 +276,8 @@ def _assign(topics, of_topic, subjects: list[str], least: float):
 class Fitted:
     """The fitted models, and the pages as word counts ``(id, lang, words, counts)``."""
 
-    def __init__(self, pages: DataFrame, models: dict[int, Model], id_col: str):
-        self.pages, self.models, self.id_col = pages, models, id_col
+    def __init__(self, pages: DataFrame, models: dict[int, Model], keep, id_col: str):
+        self.pages, self.models, self.keep, self.id_col = pages, models, keep, id_col
 
     def subjects(self, least: float = MIN_WORDS) -> DataFrame:
         """``(id_col, subject, words, share)`` of every subject that a page treats."""
@@ -229,7 +285,7 @@ class Fitted:
         sc = self.pages.sparkSession.sparkContext
         topics, mapped = sc.broadcast({k: m.topics() for k, m in self.models.items()}), sc.broadcast({k: m.mapped() for k, m in self.models.items()})
         kind = self.pages.schema["id"].dataType.simpleString()
-        rows = self.pages.mapInArrow(_assign(topics, mapped, names, least), f"id {kind}, subject string, words double, share double")
+        rows = self.pages.mapInArrow(_assign(topics, mapped, self.keep, names, least), f"id {kind}, subject string, words double, share double")
         return rows.withColumnRenamed("id", self.id_col)
 
     def topics(self) -> DataFrame:
@@ -238,6 +294,25 @@ class Fitted:
         return self.pages.sparkSession.createDataFrame(rows, "lang string, topic int, subject string, terms array<string>")
 
 
+def _kept(pages: DataFrame, models: dict[int, Model], common: list[np.ndarray]) -> list[np.ndarray]:
+    """Which words of each language count: all but common ones that are even over the subjects and not inspected."""
+    sc = pages.sparkSession.sparkContext
+    terms = [np.zeros((len(m.subjects), len(m.vocabulary)), bool) for m in models.values()]
+    for k, m in models.items():
+        for s, name in enumerate(m.subjects):
+            terms[k][s, sorted(m.inspected[name])] = True
+    spread = pages.mapInArrow(_spread(sc.broadcast(terms), sc.broadcast(common)), "lang int, subject int, word int, pages double").groupBy("lang", "subject", "word").agg(F.sum("pages").alias("pages")).toPandas()
+    keep = []
+    for k, words in enumerate(common):
+        own = spread[spread["lang"] == k]
+        having = np.zeros((len(terms[k]) + 1, len(models[k].vocabulary) + 1))
+        having[own["subject"].to_numpy(), own["word"].to_numpy()] = own["pages"].to_numpy()  # word -1 is the last column
+        kept = np.ones(len(models[k].vocabulary), bool)
+        kept[words] = uneven(having[:, words], having[:, -1]) | terms[k][:, words].any(axis=0)
+        keep.append(kept)
+    return keep
+
+
 def fit(docs: DataFrame, areas: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", passes: int = PASSES) -> Fitted:
     """Fit the topic models of all pages of ``docs`` for the subjects of ``areas`` (column ``subject``; NULLs are left out).
 
@@ -246,21 +321,27 @@ def fit(docs: DataFrame, areas: DataFrame, *, id_col: str = "doc_id", text_col:
     """
     subjects = sorted({r.subject.strip().lower() for r in areas.where("subject is not null").select("subject").distinct().collect()})
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    n = texts.count()
-    words = texts.select("text").mapInArrow(_page_counts, "word string, pages long").groupBy("word").agg(F.sum("pages").alias("pages"))
-    kept = words.where((F.col("pages") >= max(MIN_PAGES, MIN_SHARE * n)) & (F.col("pages") <= MAX_SHARE * n))
-    vocabulary = sorted(r.word for r in kept.select("word").collect())
+    words = texts.select("text").mapInArrow(_page_counts, "lang int, word string, pages long").groupBy("lang", "word").agg(F.sum("pages").alias("pages"))
+    counted = words.where((F.col("pages") >= MIN_PAGES) | (F.col("word") == "")).toPandas().sort_values("word")
+    vocabularies, common = [], []
+    for k in range(len(LANGUAGES)):
+        own = counted[counted["lang"] == k]
+        n = int(own.loc[own["word"] == "", "pages"].sum())
+        own = own[(own["word"] != "") & (own["pages"] >= max(MIN_PAGES, MIN_SHARE * n))]
+        vocabularies.append(own["word"].tolist())
+        common.append(np.flatnonzero(own["pages"].to_numpy() > MAX_SHARE * n))
     sc = docs.sparkSession.sparkContext
     kind = docs.schema[id_col].dataType.simpleString()
-    pages = materialize(texts.mapInArrow(_encode(sc.broadcast(vocabulary)), f"id {kind}, lang int, words array<int>, counts array<int>"), "topic-pages")
-    models = {k: Model(vocabulary, lang, subjects) for k, lang in enumerate(LANGUAGES)}
+    pages = materialize(texts.mapInArrow(_encode(sc.broadcast(vocabularies)), f"id {kind}, lang int, words array<int>, counts array<int>"), "topic-pages")
+    models = {k: Model(vocabularies[k], lang, subjects) for k, lang in enumerate(LANGUAGES)}
+    keep = sc.broadcast(_kept(pages, models, common))
     for _ in range(passes):
         topics = sc.broadcast({k: m.topics() for k, m in models.items()})
-        gathered = pages.mapInArrow(_gather(topics), "lang int, topic int, word int, weight double").groupBy("lang", "topic", "word").agg(F.sum("weight").alias("weight")).toPandas()
+        gathered = pages.mapInArrow(_gather(topics, keep), "lang int, topic int, word int, weight double").groupBy("lang", "topic", "word").agg(F.sum("weight").alias("weight")).toPandas()
         for k, m in models.items():
             own = gathered[gathered["lang"] == k]
             weights = np.full_like(m.weights, ETA)
             weights[own["topic"].to_numpy(), own["word"].to_numpy()] += own["weight"].to_numpy()
             m.weights = weights
         topics.unpersist()
-    return Fitted(pages, models, id_col)
+    return Fitted(pages, models, keep, id_col)

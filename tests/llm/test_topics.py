@@ -45,6 +45,27 @@ def test_known_pages(spark, areas):
     assert {r.subject for r in shown} - {None} == set(topics.INSPECTED)
 
 
+def test_a_subject_of_half_the_pages_keeps_its_words(spark, areas):
+    rng = random.Random(4)
+    others = sorted(set(topics.INSPECTED) - {"sport"})
+    made = []
+    for i in range(600):
+        truth = "sport" if i % 2 else rng.choice(others)
+        words = topics.INSPECTED[truth]["en"].split() + (["innings", "pitch"] if truth == "sport" else ["ledger"])
+        text = [w for _ in range(8) for w in (rng.choice(words), rng.choice(words), f"name{rng.randrange(300)}")] + topics.FUNCTION_WORDS["en"].split() + ["cocoa", "linen"]
+        rng.shuffle(text)
+        made.append((i, " ".join(text), truth))
+    fitted = topics.fit(spark.createDataFrame([(i, t) for i, t, _ in made], "doc_id long, text string"), areas)
+    got = {}
+    for r in fitted.subjects().collect():
+        got.setdefault(r.doc_id, set()).add(r.subject)
+    sport = [i for i, _, s in made if s == "sport"]
+    assert sum(got.get(i) == {"sport"} for i in sport) >= 0.97 * len(sport)
+    at, keep = {w: k for k, w in enumerate(fitted.models[0].vocabulary)}, fitted.keep.value[0]
+    assert all(keep[at[w]] for w in fold_words(topics.INSPECTED["sport"]["en"] + " innings pitch"))
+    assert not any(keep[at[w]] for w in fold_words("cocoa linen said with"))
+
+
 def test_repeats_and_long_texts_change_nothing_for_others(spark, areas):
     made = pages(2, 150)
     data = [(i, t) for i, t, _ in made]
