@@ -294,7 +294,7 @@ def bottommost_flag(spark, sf_dir):
 @_query(f"""WITH {_META_SQL}, k AS (SELECT DISTINCT store_id AS s, key FROM memtable_ops WHERE key IS NOT NULL)
     SELECT s AS store_id, hex(key) AS key_hex, count(id) AS may_hold FROM k LEFT JOIN meta ON store_id = s AND min_key <= key AND max_key >= key AND level = 4 GROUP BY s, key""")
 def run_prune(spark, sf_dir):
-    """How many deep runs may hold each key, by their bounds alone."""
+    """How many deep runs may hold each key, by their bounds alone; ``run_prune_all`` has every level."""
     keys = table(spark, sf_dir, "memtable_ops").where("key is not null").select("store_id", "key").distinct()
     asked = keys.withColumn("id", F.xxhash64("store_id", "key"))
     runs = _meta(spark, sf_dir).where("level = 4")
@@ -302,6 +302,17 @@ def run_prune(spark, sf_dir):
     return asked.join(counts, ["store_id", "id"]).select("store_id", F.hex("key").alias("key_hex"), F.col("overlapping").alias("may_hold"))
 
 
+@_query(f"""WITH {_META_SQL}, k AS (SELECT DISTINCT store_id AS s, key FROM memtable_ops WHERE key IS NOT NULL)
+    SELECT s AS store_id, hex(key) AS key_hex, count(id) AS may_hold FROM k LEFT JOIN meta ON store_id IS NOT DISTINCT FROM s AND min_key <= key AND max_key >= key GROUP BY s, key""")
+def run_prune_all(spark, sf_dir):
+    """How many runs of any level, a NULL one too, may hold each key, by their bounds alone; ``run_prune`` counts level 4 only."""
+    keys = table(spark, sf_dir, "memtable_ops").where("key is not null").select("store_id", "key").distinct()
+    asked = keys.withColumn("id", F.xxhash64("store_id", "key"))
+    counts = compaction.overlap_counts(asked.withColumn("min_key", F.col("key")).withColumn("max_key", F.col("key")), _meta(spark, sf_dir), ["store_id"])
+    counts = counts.withColumnRenamed("store_id", "s").withColumnRenamed("id", "q")
+    return asked.join(counts, F.col("store_id").eqNullSafe(F.col("s")) & (F.col("id") == F.col("q"))).select("store_id", F.hex("key").alias("key_hex"), F.col("overlapping").alias("may_hold"))
+
+
 @_query("SELECT DISTINCT id FROM run_meta WHERE id IS NOT NULL EXCEPT SELECT id FROM run_meta_copy")
 def set_difference_ids(spark, sf_dir):
     return table(spark, sf_dir, "run_meta").where("id is not null").select("id").subtract(table(spark, sf_dir, "run_meta_copy").select("id"))

@@ -60,3 +60,15 @@ def test_bounds_that_are_missing(spark):
     df = table(spark, [run(1, 0, None, None), run(2, 1, b"a", b"b")])
     assert rows(c.overlap_counts(df, df, ["store_id"]), "id", "overlapping") == [(2, 1)]
     assert c.level_scores(df.where("false")).count() == 0
+
+
+def test_pruning_counts_runs_of_every_level(spark, tmp_path):
+    from foldstone.plans import catalog
+
+    runs = [run(i, level, b"a", b"m") for i, level in enumerate([0, 0, 1, 2, 3, 4, None])] + [run(7, 0, b"n", b"z"), run(8, 1, None, None)]
+    table(spark, runs).selectExpr("*", "timestamp'2026-01-01' AS recorded_at").write.parquet(f"{tmp_path}/run_meta.parquet")
+    keys = [(1, bytearray(b"a")), (1, bytearray(b"m")), (1, bytearray(b"m")), (1, bytearray(b"p")), (1, bytearray(b"zz")), (2, bytearray(b"a")), (None, bytearray(b"a")), (1, None)]
+    spark.createDataFrame(keys, "store_id int, key binary").write.parquet(f"{tmp_path}/memtable_ops.parquet")
+    got = catalog.queries()["run_prune_all"](spark, str(tmp_path))
+    hexed = lambda k: k.hex().upper()
+    assert rows(got, "store_id", "key_hex", "may_hold") == order([(1, hexed(b"a"), 7), (1, hexed(b"m"), 7), (1, hexed(b"p"), 1), (1, hexed(b"zz"), 0), (2, hexed(b"a"), 0), (None, hexed(b"a"), 0)])
