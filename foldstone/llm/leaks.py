@@ -133,84 +133,112 @@ def _pieces(page: np.ndarray, item: np.ndarray, diagonal: int, first: int, last:
     return out
 
 
-def _aligned(page_fragments: list[str], item: str, seeds: dict[str, list[int]]) -> list[tuple[int, int, int, int, int, int]]:
+class Page:
+    """The folded fragments of a page, long ones cut, with what aligning any item with them needs, made once."""
+
+    def __init__(self, page_fragments: list[str]):
+        self.fragments = [f[i : i + FRAGMENT] for f in page_fragments for i in range(0, len(f), FRAGMENT)]
+        self.letters = [np.frombuffer(f.encode("utf-32-le"), np.uint32) for f in self.fragments]
+        self.tiny = {f for f in self.fragments if len(f) <= HOLE}
+        #: seed -> (fragment, position) of all its places
+        self.places: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        for n, f in enumerate(self.fragments):
+            for j in range(len(f) - SEED + 1):
+                self.places[f[j : j + SEED]].append((n, j))
+
+
+def _aligned(page: Page, item: str, seeds: dict[str, list[int]]) -> list[tuple[int, int, int, int, int, int]]:
     """(item start, item end, fragment, letters before it, letters after it, equal letters) of all aligned pieces."""
-    out = []
+    hits: dict[tuple[int, int], list[int]] = defaultdict(list)
+    for seed in seeds.keys() & page.places.keys():
+        for p in seeds[seed]:
+            for n, j in page.places[seed]:
+                hits[n, p - j].append(p)
     target = np.frombuffer(item.encode("utf-32-le"), np.uint32)
-    for n, f in enumerate(page_fragments):
-        hits: dict[int, list[int]] = defaultdict(list)
-        for j in range(len(f) - SEED + 1):
-            for p in seeds.get(f[j : j + SEED], ()):
-                hits[p - j].append(p)
-        strong = [(d, at) for d, at in hits.items() if len(at) >= 2]
-        if strong:
-            page = np.frombuffer(f.encode("utf-32-le"), np.uint32)
-            out += [(a, b, n, a - d, len(f) - (b - d), same) for d, at in strong for a, b, same in _pieces(page, target, d, at[0], at[-1])]
-    return sorted(set(out))
-
-
-def _continues(x: tuple, y: tuple, page_fragments: list[str], tiny: list[str], item: str) -> bool:
-    """Whether piece y goes on where piece x ends: in its fragment, or from the end of one fragment to the start of another."""
-    hole = y[0] - x[1]
-    if not -HOLE <= hole <= HOLE:
-        return False
-    if x[2] == y[2]:
-        between = y[3] - (len(page_fragments[x[2]]) - x[4])
-        return -HOLE <= between <= HOLE and abs(hole - between) <= SHIFT
-    if x[4] + y[3] > HOLE:
-        return False
-    if abs(hole - x[4] - y[3]) <= SHIFT:
-        return True
-    # a fragment too short to be aligned by itself may stand between
-    lost = item[x[1] : y[0]]
-    return x[4] + y[3] <= 2 and any(abs(len(t) - len(lost)) <= 1 and sum(a == b for a, b in zip(t, lost)) >= 0.6 * len(lost) for t in tiny)
-
-
-def longest_print(page_fragments: list[str], item: str, seeds: dict[str, list[int]]) -> tuple[int, int]:
-    """The longest stretch of the folded ``item`` that the folded fragments print, in whatever order the fragments stand.
+    out = set()
+    for (n, d), at in hits.items():
+        if len(at) >= 2:
+            size = len(page.fragments[n])
+            out.update((a, b, n, a - d, size - (b - d), same) for a, b, same in _pieces(page.letters[n], target, d, min(at), max(at)))
+    return sorted(out)
+
+
+def _follows(x: tuple, y: tuple) -> bool:
+    """Whether piece y goes on where piece x of the same fragment ends."""
+    hole, between = y[0] - x[1], y[3] - x[6]
+    return -HOLE <= hole <= HOLE and -HOLE <= between <= HOLE and abs(hole - between) <= SHIFT
+
+
+class _Ends:
+    """Stretches that end at the end of a fragment, by item position and unread letters: of each place only those that
+    may be the best for a piece that goes on, so their number is bounded by the item, whatever the page's length."""
+
+    def __init__(self, item: str, tiny: set[str]):
+        self.item, self.tiny, self.lost = item, tiny, {}
+        self.at: dict[int, dict[int, list[tuple[int, int, int]]]] = defaultdict(dict)
+
+    def add(self, end: int, after: int, fragment: int, begin: int, equal: int) -> None:
+        """A stretch is no use beside one that is no worse in its fragment, or beside two in other fragments."""
+        kept = self.at[end].setdefault(after, [])
+        kept.append((begin, equal, fragment))
+        for x in kept[::-1]:
+            better = {z[2] for z in kept if z is not x and _no_worse(z, x)}
+            if x[2] in better or len(better) > 1:
+                kept.remove(x)
+
+    def before(self, y: tuple):
+        """(begin, equal, end) of all stretches of other fragments that piece y goes on from."""
+        if y[3] > HOLE:
+            return
+        for end in range(y[0] - HOLE, min(y[0] + HOLE, y[1] - 1) + 1):
+            for after, kept in self.at.get(end, {}).items():
+                gap = after + y[3]
+                if gap <= HOLE and (abs(y[0] - end - gap) <= SHIFT or gap <= 2 and self._between(end, y[0])):
+                    for begin, equal, fragment in kept:
+                        if fragment != y[2]:
+                            yield begin, equal, end
+
+    def _between(self, end: int, start: int) -> bool:
+        """Whether a fragment too short to be aligned by itself prints what stands there."""
+        if (end, start) not in self.lost:
+            lost = self.item[end:start]
+            self.lost[end, start] = any(abs(len(t) - len(lost)) <= 1 and sum(a == b for a, b in zip(t, lost)) >= 0.6 * len(lost) for t in self.tiny)
+        return self.lost[end, start]
+
+
+def _no_worse(x: tuple, y: tuple) -> bool:
+    """Whether stretch x, which ends where y does, serves each piece that goes on at least as well."""
+    return x[0] <= y[0] and x[1] + READ * x[0] >= y[1] + READ * y[0] and (x[0] < y[0] or x[1] >= y[1])
+
+
+def longest_print(page: Page, item: str, seeds: dict[str, list[int]]) -> tuple[int, int]:
+    """The longest stretch of the folded ``item`` that the page prints, in whatever order its fragments stand.
 
     Pieces belong together only if one goes on where the other ends, so phrases that many texts
     share don't add up. Between two fragments anything may stand: adverts, heads, other columns.
     """
-    pieces = _aligned(page_fragments, item, seeds)
-    tiny = [f for f in page_fragments if 0 < len(f) <= HOLE]
-    begin, equal = [p[0] for p in pieces], [p[5] for p in pieces]
-    by_end: dict[int, list[int]] = defaultdict(list)
+    ends = _Ends(item, page.tiny)
+    #: fragment -> its pieces so far, each with where it ends in the fragment and the begin and equal letters of its stretch
+    own: dict[int, list[tuple]] = defaultdict(list)
     best = (0, 0)
-    for i, y in enumerate(pieces):
-        slot = y[0] // (HOLE + 1)
-        for k in [*by_end[slot - 1], *by_end[slot], *by_end[slot + 1]]:
-            x = pieces[k]
-            if begin[k] <= begin[i] and x[1] < y[1] and _continues(x, y, page_fragments, tiny, item):
-                same = equal[k] + y[5] - max(0, x[1] - y[0])
-                # a stretch must be well read at each step, lest a long bad one hides a good one
-                if (-begin[k], same) > (-begin[i], equal[i]) and same >= READ * (y[1] - begin[k]):
-                    begin[i], equal[i] = begin[k], same
-        by_end[y[1] // (HOLE + 1)].append(i)
-        if y[1] - begin[i] > best[1] - best[0] and equal[i] >= READ * (y[1] - begin[i]):
-            best = begin[i], y[1]
+    for y in _aligned(page, item, seeds):
+        begin, equal = y[0], y[5]
+        inside = [(x[7], x[8], x[1]) for x in own[y[2]] if x[1] < y[1] and _follows(x, y)]
+        for start, read, end in [*inside, *ends.before(y)]:
+            same = read + y[5] - max(0, end - y[0])
+            # a stretch must be well read at each step, lest a long bad one hides a good one
+            if start <= y[0] and (-start, same) > (-begin, equal) and same >= READ * (y[1] - start):
+                begin, equal = start, same
+        own[y[2]].append((*y, len(page.fragments[y[2]]) - y[4], begin, equal))
+        if y[4] <= HOLE:
+            ends.add(y[1], y[4], y[2], begin, equal)
+        if y[1] - begin > best[1] - best[0] and equal >= READ * (y[1] - begin):
+            best = begin, y[1]
     return best
 
 
-#: Letters of one passage of a page, and of one fragment. Passages overlap by half, so what is printed within half of one is whole in some passage.
-PASSAGE, FRAGMENT = 12_000, 400
-
-
-def passages(page_fragments: list[str]):
-    """The passages of a page, as lists of fragments: one for a page of usual length. Long fragments are cut."""
-    short = [f[i : i + FRAGMENT] for f in page_fragments for i in range(0, len(f), FRAGMENT)]
-    start = 0
-    while start < len(short):
-        end, letters, half = start, 0, start + 1
-        while end < len(short) and (letters < PASSAGE or end == start):
-            letters += len(short[end])
-            end += 1
-            if letters < PASSAGE // 2:
-                half = end
-        yield short[start:end]
-        if end == len(short):
-            break
-        start = max(half, start + 1)
+#: Letters of a fragment; longer ones are cut, and pieces go on over the cuts as over other ends of fragments.
+FRAGMENT = 400
 
 
 def seeds_of(item: str) -> dict[str, list[int]]:
@@ -256,11 +284,13 @@ class Searcher:
     def page(self, text: str, run: int, threshold: float):
         """(item id, words printed, words of the passage, score, share of the question's words on the page, whether its answer is there)."""
         best: dict[int, tuple[int, float]] = {}
-        for pieces in passages([fold(f) for f in fragments(text)]):
-            for k, score in self.index.search("".join(pieces), threshold):
-                n = words_in(longest_print(pieces, self.index.folded[k], self.seeds[k]), self.ends[k])
-                if n >= run and (n, score) > best.get(k, (0, 0.0)):
-                    best[k] = n, score
+        pieces = [fold(f) for f in fragments(text)]
+        page = None
+        for k, score in self.index.search("".join(pieces), threshold):
+            page = page or Page(pieces)
+            n = words_in(longest_print(page, self.index.folded[k], self.seeds[k]), self.ends[k])
+            if n >= run:
+                best[k] = n, score
         folded = fold(text) if best else ""
         for k, (n, score) in best.items():
             for item_id, question, answer in self.owners[k]:

@@ -108,6 +108,20 @@ def test_a_page_of_one_very_long_line(spark, passages):
     assert {r.item_id for r in find(spark, [page], [(f"i{k}", x, None, None, "s") for k, x in enumerate(passages)]).collect()} == {"i5"}
 
 
+@pytest.mark.parametrize("letters", [20_000, 150_000])
+def test_parts_of_a_run_that_stand_far_apart(spark, passages, letters):
+    rng = random.Random(6)
+    part = lines(" ".join(passages[5].split()[20:40]))
+    between = []
+    while sum(map(len, between)) < letters:
+        between.append(" ".join("".join(rng.choices("abdegikmopstuwxyz", k=rng.randrange(2, 9))) for _ in range(5)))
+    half = len(part) // 2
+    assert max(len(" ".join(x).split()) for x in (part[:half], part[half:])) < leaks.RUN
+    items = [(f"i{k}", x, None, None, "s") for k, x in enumerate(passages)]
+    pages = [[*part[:half], *between, *part[half:]], [*part[half:], *between, *part[:half]], [*part[:half], *between]]
+    assert rows(find(spark, ["\n".join(x) for x in pages], items), "doc_id", "item_id") == [(0, "i5"), (1, "i5")]
+
+
 def test_folding():
     assert fold("Il was the fcver, n0t 'tbe' s¬\ntroke") == fold("It was the fever not the stroke")
     assert fold("ſchöner Eſel") == fold("schoner Esel") and fold("infirnnary vvas") == fold("infirmary was") and fold(" .,-") == ""
