@@ -11,6 +11,7 @@ with the page letter by letter.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import defaultdict
 
 import numpy as np
@@ -22,8 +23,12 @@ from .print_text import fold, fragments, words
 GRAM, BLOCK = 9, 16
 #: BM25's usual parameters.
 K1, B = 1.2, 0.75
-#: Least score of a page for an item to be aligned. A run of 15 words has about 75 terms of weight 4 to 6.
+#: Greatest score that a page must have for an item to be aligned. A run of 15 words has about 75 terms of weight 4 to 6.
 THRESHOLD = 100.0
+#: An item is aligned from this share of the score of its weakest run: the rest may be misread or cut by line ends.
+MISREAD_SHARE = 0.4
+#: Least weight of a term; those of half the items or more have it.
+LEAST_IDF = 0.05
 #: Least number of items that weights are made for, so that a block of few items has scores like those of many.
 ITEMS = 250
 #: Words that must be printed one after another.
@@ -43,43 +48,56 @@ class Index:
         n = max(ITEMS, len(passages))
         mean = sum(map(len, self.folded)) / max(1, len(passages)) or 1
         norm = [K1 * (1 - B + B * len(f) / mean) for f in self.folded]
-        #: term -> (items ascending, impacts, blocks, greatest impact in each block)
+        #: term -> (items ascending, impacts, and of each block the greatest impact and where its items begin)
         self.post: dict[str, tuple] = {}
         for term, row in counts.items():
-            idf = math.log((n - len(row) + 0.5) / (len(row) + 0.5))
-            if idf > 0:
-                items = sorted(row)
-                impacts = [idf * row[k] * (K1 + 1) / (row[k] + norm[k]) for k in items]
-                best: dict[int, float] = {}
-                for k, x in zip(items, impacts):
-                    best[k // BLOCK] = max(best.get(k // BLOCK, 0.0), x)
-                self.post[term] = items, impacts, list(best), list(best.values())
+            idf = max(LEAST_IDF, math.log((n - len(row) + 0.5) / (len(row) + 0.5)))
+            items = sorted(row)
+            impacts = [idf * row[k] * (K1 + 1) / (row[k] + norm[k]) for k in items]
+            best: dict[int, float] = {}
+            first: dict[int, int] = {}
+            for i, (k, x) in enumerate(zip(items, impacts)):
+                best[k // BLOCK] = max(best.get(k // BLOCK, 0.0), x)
+                first.setdefault(k // BLOCK, i)
+            self.post[term] = items, impacts, best, first
         self.terms = self.post.keys()
         self.blocks = -(-max(1, len(passages)) // BLOCK)
 
-    def search(self, folded: str, threshold: float = THRESHOLD) -> list[tuple[int, float]]:
-        """All (item, score) with a score of at least ``threshold``."""
+    def weakest_run(self, k: int, ends: list[int], run: int) -> float:
+        """The least score that a clean print of ``run`` words of item ``k`` can have; ``ends``: ends of its words."""
+        f, begins = self.folded[k], [0, *ends]
+        impact = {}
+        for j in range(len(f) - GRAM + 1):
+            if (t := f[j : j + GRAM]) not in impact:
+                items, impacts = self.post[t][:2]
+                impact[t] = impacts[bisect_left(items, k)]
+        runs = range(max(1, len(ends) - run + 1))
+        return min(sum(impact[t] for t in {f[j : j + GRAM] for j in range(begins[i], begins[min(i + run, len(ends))] - GRAM + 1)}) for i in runs)
+
+    def search(self, folded: str, threshold: float | list[float] = THRESHOLD) -> list[tuple[int, float]]:
+        """All (item, score) with a score of at least ``threshold``, which may be given for each item."""
         terms = {folded[j : j + GRAM] for j in range(len(folded) - GRAM + 1)} & self.terms
         if not terms:
             return []
         lists = [self.post[t] for t in terms]
         bound = [0.0] * self.blocks
-        for _, _, blocks, best in lists:
-            for b, x in zip(blocks, best):
+        for _, _, best, _ in lists:
+            for b, x in best.items():
                 bound[b] += x
         out = []
+        each = isinstance(threshold, list)
         for b, total in enumerate(bound):
-            if total >= threshold:
-                out += self._block(b, lists, threshold)
+            # a block is passed over only if it can't reach the lowest threshold of its items
+            if total > 0 and total >= (low := min(threshold[b * BLOCK : (b + 1) * BLOCK]) if each else threshold):
+                out += [(k, score) for k, score in self._block(b, lists, low) if not each or score >= threshold[k]]
         return out
 
     def _block(self, b: int, lists: list[tuple], threshold: float) -> list[tuple[int, float]]:
         """WAND within one block: cursors in order of item, the pivot where their bounds reach the threshold."""
         end, cursors = (b + 1) * BLOCK, []
-        for items, impacts, blocks, best in lists:
-            if b in blocks:
-                at = next(i for i, k in enumerate(items) if k >= b * BLOCK)
-                cursors.append([items[at], best[blocks.index(b)], at, items, impacts])
+        for items, impacts, best, first in lists:
+            if b in best:
+                cursors.append([items[first[b]], best[b], first[b], items, impacts])
         out = []
         while cursors:
             cursors.sort(key=lambda c: c[0])
@@ -272,31 +290,38 @@ class Searcher:
     """An index with what aligning needs, made once per Python worker."""
 
     def __init__(self, items: list[tuple[str, str, str, str]]):
-        texts: dict[str, list[tuple[str, str, str]]] = {}
+        # passages that differ only in case, punctuation or confused letters are one; their words are counted by text
+        texts: dict[str, dict[str, list[tuple[str, str, str]]]] = {}
         for item_id, passage, question, answer in items:
-            texts.setdefault(passage, []).append((item_id, question, answer))
-        self.passages = list(texts)
+            texts.setdefault(fold(passage), {}).setdefault(passage, []).append((item_id, question, answer))
         self.owners = list(texts.values())
-        self.index = Index(self.passages)
+        self.index = Index([next(iter(own)) for own in self.owners])
         self.seeds = [seeds_of(f) for f in self.index.folded]
-        self.ends = [word_ends(p, f) for p, f in zip(self.passages, self.index.folded)]
+        self.ends = [{p: word_ends(p, f) for p in own} for own, f in zip(self.owners, self.index.folded)]
+        self.least: dict[tuple[int, float], list[float]] = {}
+
+    def thresholds(self, run: int, most: float) -> list[float]:
+        """The score from which each item is aligned."""
+        if (run, most) not in self.least:
+            self.least[run, most] = [min(most, *(MISREAD_SHARE * self.index.weakest_run(k, e, run) for e in own.values())) for k, own in enumerate(self.ends)]
+        return self.least[run, most]
 
     def page(self, text: str, run: int, threshold: float):
         """(item id, words printed, words of the passage, score, share of the question's words on the page, whether its answer is there)."""
-        best: dict[int, tuple[int, float]] = {}
         pieces = [fold(f) for f in fragments(text)]
-        page = None
-        for k, score in self.index.search("".join(pieces), threshold):
+        page, folded = None, None
+        for k, score in self.index.search("".join(pieces), self.thresholds(run, threshold)):
             page = page or Page(pieces)
-            n = words_in(longest_print(page, self.index.folded[k], self.seeds[k]), self.ends[k])
-            if n >= run:
-                best[k] = n, score
-        folded = fold(text) if best else ""
-        for k, (n, score) in best.items():
-            for item_id, question, answer in self.owners[k]:
-                asked = [fold(w) for w in words(question or "")]
-                share = sum(w in folded for w in asked) / len(asked) if asked else None
-                yield item_id, n, len(self.ends[k]), score, share, (fold(answer) in folded if answer and fold(answer) else None)
+            stretch = longest_print(page, self.index.folded[k], self.seeds[k])
+            for passage, ends in self.ends[k].items():
+                n = words_in(stretch, ends)
+                if n < run:
+                    continue
+                folded = fold(text) if folded is None else folded
+                for item_id, question, answer in self.owners[k][passage]:
+                    asked = [fold(w) for w in words(question or "")]
+                    share = sum(w in folded for w in asked) / len(asked) if asked else None
+                    yield item_id, n, len(ends), score, share, (fold(answer) in folded if answer and fold(answer) else None)
 
 
 _LOADED: dict[int, Searcher] = {}

@@ -127,3 +127,18 @@ def test_folding():
     assert fold("ſchöner Eſel") == fold("schoner Esel") and fold("infirnnary vvas") == fold("infirmary was") and fold(" .,-") == ""
     assert fold_words("Tea was\ntaken") == [fold("tea"), fold("was"), fold("taken")]
     assert fragments("a b   c\r\nd\n\n") == ["a b", "c", "d"]
+
+
+def test_long_passages_and_copies_are_found(spark, passages):
+    rng = random.Random(8)
+    long = " ".join(sentence(rng) for _ in range(250))
+    copied = " ".join(sentence(rng) for _ in range(5))
+    at = copied.split()
+    copies = [" ".join(w.upper() if i == k else w for i, w in enumerate(at)) for k in range(20)]
+    # nearly the same text in more than half of the items
+    near = [" ".join([*at, name(rng)]) for _ in range(280)]
+    items = [(f"i{k}", x, None, None, "s") for k, x in enumerate(passages)] + [("long", long, None, None, "s")]
+    with_copies = [(f"c{k}", x, None, None, "s") for k, x in enumerate(copies)] + [(f"n{k}", x, None, None, "s") for k, x in enumerate(near)]
+    pages = [" ".join(long.split()[300:316]), " ".join(at[4:20]), " ".join(passages[2].split()[3:19])]
+    got = rows(find(spark, pages, items + with_copies), "doc_id", "item_id")
+    assert got == sorted([(0, "long"), *((1, x[0]) for x in with_copies), (2, "i2")])
