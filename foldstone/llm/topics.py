@@ -10,8 +10,8 @@ terms, or to none; a page treats the subjects whose topics take enough of its wo
 
 Each language has its own vocabulary. A word on many of its pages is left out only if it is as common on
 pages with the inspected terms of a subject as on the others, for every subject (function words, most of adverts); a
-large subject keeps its words. Rare words (most names and misreadings) are left out by their share of the
-language's pages.
+large subject keeps its words. Words on fewer than ``MIN_PAGES`` pages of the language are left out, unless they are
+inspected, whatever the corpus's size; so the vocabulary, which each worker gets, grows with the corpus, slower than its pages.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..shared import materialize
@@ -47,7 +48,7 @@ INSPECTED = {
     "weather": {"en": "blizzard thermometer rainfall drizzle frost thundered", "de": "gewitter nebel kälte tauwetter sturm vereiste", "fr": "pluie orageux brumeux tempête neige brouillard"},
 }
 
-MIN_SHARE, MIN_PAGES, MAX_SHARE = 0.001, 3, 0.12
+MIN_PAGES, MAX_SHARE = 3, 0.12
 #: A word on more than MAX_SHARE of a language's pages must be so many times as common on the pages of some subject as on the rest.
 #: Pages of a subject have ANCHORS of its inspected terms; PRIOR pages of the mean share are added on both sides.
 UNEVEN, ANCHORS, PRIOR = 1.5, 2, 5
@@ -301,10 +302,10 @@ def _kept(pages: DataFrame, models: dict[int, Model], common: list[np.ndarray])
     for k, m in models.items():
         for s, name in enumerate(m.subjects):
             terms[k][s, sorted(m.inspected[name])] = True
-    spread = pages.mapInArrow(_spread(sc.broadcast(terms), sc.broadcast(common)), "lang int, subject int, word int, pages double").groupBy("lang", "subject", "word").agg(F.sum("pages").alias("pages")).toPandas()
+    spread = pages.mapInArrow(_spread(sc.broadcast(terms), sc.broadcast(common)), "lang int, subject int, word int, pages double").groupBy("lang", "subject", "word").agg(F.sum("pages").alias("pages")).toArrow()
     keep = []
     for k, words in enumerate(common):
-        own = spread[spread["lang"] == k]
+        own = spread.filter(pc.field("lang") == k)
         having = np.zeros((len(terms[k]) + 1, len(models[k].vocabulary) + 1))
         having[own["subject"].to_numpy(), own["word"].to_numpy()] = own["pages"].to_numpy()  # word -1 is the last column
         kept = np.ones(len(models[k].vocabulary), bool)
@@ -322,13 +323,18 @@ def fit(docs: DataFrame, areas: DataFrame, *, id_col: str = "doc_id", text_col:
     subjects = sorted({r.subject.strip().lower() for r in areas.where("subject is not null").select("subject").distinct().collect()})
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     words = texts.select("text").mapInArrow(_page_counts, "lang int, word string, pages long").groupBy("lang", "word").agg(F.sum("pages").alias("pages"))
-    counted = words.where((F.col("pages") >= MIN_PAGES) | (F.col("word") == "")).toPandas().sort_values("word")
+    inspected = [sorted({w for s in subjects for w in fold_words(INSPECTED.get(s, {}).get(lang, ""))}) for lang in LANGUAGES]
+    asked = [(F.col("lang") == k) & F.col("word").isin(ws) for k, ws in enumerate(inspected)]
+    kept = (F.col("pages") >= MIN_PAGES) | (F.col("word") == "") | asked[0]
+    for condition in asked[1:]:
+        kept = kept | condition
+    counted = words.where(kept).toArrow().sort_by("word")
     vocabularies, common = [], []
     for k in range(len(LANGUAGES)):
-        own = counted[counted["lang"] == k]
-        n = int(own.loc[own["word"] == "", "pages"].sum())
-        own = own[(own["word"] != "") & (own["pages"] >= max(MIN_PAGES, MIN_SHARE * n))]
-        vocabularies.append(own["word"].tolist())
+        own = counted.filter(pc.field("lang") == k)
+        n = sum(own.filter(pc.field("word") == "")["pages"].to_pylist())
+        own = own.filter(pc.field("word") != "")
+        vocabularies.append(own["word"].to_pylist())
         common.append(np.flatnonzero(own["pages"].to_numpy() > MAX_SHARE * n))
     sc = docs.sparkSession.sparkContext
     kind = docs.schema[id_col].dataType.simpleString()
@@ -337,9 +343,9 @@ def fit(docs: DataFrame, areas: DataFrame, *, id_col: str = "doc_id", text_col:
     keep = sc.broadcast(_kept(pages, models, common))
     for _ in range(passes):
         topics = sc.broadcast({k: m.topics() for k, m in models.items()})
-        gathered = pages.mapInArrow(_gather(topics, keep), "lang int, topic int, word int, weight double").groupBy("lang", "topic", "word").agg(F.sum("weight").alias("weight")).toPandas()
+        gathered = pages.mapInArrow(_gather(topics, keep), "lang int, topic int, word int, weight double").groupBy("lang", "topic", "word").agg(F.sum("weight").alias("weight")).toArrow()
         for k, m in models.items():
-            own = gathered[gathered["lang"] == k]
+            own = gathered.filter(pc.field("lang") == k)
             weights = np.full_like(m.weights, ETA)
             weights[own["topic"].to_numpy(), own["word"].to_numpy()] += own["weight"].to_numpy()
             m.weights = weights

@@ -66,6 +66,20 @@ def test_a_subject_of_half_the_pages_keeps_its_words(spark, areas):
     assert not any(keep[at[w]] for w in fold_words("cocoa linen said with"))
 
 
+def test_a_rare_subject_of_a_large_corpus_keeps_its_words(spark, areas):
+    rng = random.Random(6)
+
+    def text(s, lang):
+        words = topics.INSPECTED[s][lang].split() + topics.FUNCTION_WORDS[lang].split() + [f"name{n}" for n in rng.sample(range(300), 3)]
+        return " ".join(rng.sample(words, len(words)))
+
+    docs = [(i, text(rng.choice(["law", "finance"]), "en")) for i in range(6000)] + [(9000 + i, text("weather", "en")) for i in range(4)]
+    fitted = topics.fit(spark.createDataFrame(docs, "doc_id long, text string"), areas)
+    assert set(fold_words(topics.INSPECTED["weather"]["en"])) <= set(fitted.models[0].vocabulary)
+    got = rows(fitted.subjects().where("doc_id >= 9000"), "doc_id", "subject")
+    assert got == [(9000 + i, "weather") for i in range(4)]
+
+
 def test_repeats_and_long_texts_change_nothing_for_others(spark, areas):
     made = pages(2, 150)
     data = [(i, t) for i, t, _ in made]
