@@ -29,23 +29,25 @@ def effective_log(wal: DataFrame, chunk: int = CHUNK) -> DataFrame:
     Of the deliveries of one LSN the one in the highest segment counts (a NULL segment is the
     lowest; of several the greatest content). A put or delete with a key counts if, in LSN order of
     its store, the marker before it is absent or an end, or is a begin while the next marker is an
-    end. Rows without LSN don't count, and of other types neither. Markers are summed up per chunk
+    end. Rows without LSN don't count, and of other types neither. Rows without a store are the log of
+    one store, the NULL one. Markers are summed up per chunk
     of LSNs and carried between chunks, so one store's log is never a single task.
     """
     chunks = F.floor(F.col("lsn") / chunk)
-    rows = wal.where("lsn is not null").select("store_id", chunks.alias("chunk"), "lsn", "segment", type_letter(F.col("type")).alias("letter"), "key", "value")
+    rows = wal.where("lsn is not null").select("store_id", F.col("store_id").isNull().alias("none"), chunks.alias("chunk"), "lsn", "segment", type_letter(F.col("type")).alias("letter"), "key", "value")
     # one shuffle by (store, chunk) serves the fold, the window and the summary
-    top = rows.repartition("store_id", "chunk").groupBy("store_id", "chunk", "lsn").agg(F.max(F.struct("segment", "letter", "key", "value")).alias("r"))
-    log = top.select("store_id", "chunk", "lsn", "r.letter", "r.key", "r.value").withColumn("marker", F.when(F.col("letter").isin("B", "E"), F.col("letter")))
-    ends = log.where("marker is not null").groupBy("store_id", "chunk").agg(F.max_by("marker", "lsn").alias("last_in"), F.min_by("marker", "lsn").alias("first_in"))
-    here = log.select("store_id", "chunk").distinct().join(ends, ["store_id", "chunk"], "left")
+    rows = rows.withColumn("store_id", F.coalesce("store_id", F.lit(0)))  # joins don't match NULLs; the NULL store differs from 0 by "none"
+    top = rows.repartition("store_id", "none", "chunk").groupBy("store_id", "none", "chunk", "lsn").agg(F.max(F.struct("segment", "letter", "key", "value")).alias("r"))
+    log = top.select("store_id", "none", "chunk", "lsn", "r.letter", "r.key", "r.value").withColumn("marker", F.when(F.col("letter").isin("B", "E"), F.col("letter")))
+    ends = log.where("marker is not null").groupBy("store_id", "none", "chunk").agg(F.max_by("marker", "lsn").alias("last_in"), F.min_by("marker", "lsn").alias("first_in"))
+    here = log.select("store_id", "none", "chunk").distinct().join(ends, ["store_id", "none", "chunk"], "left")
     # lag and lead that skip NULLs take one pass; a frame up to the last row would be read again for each row
-    near = "{}({}) IGNORE NULLS OVER (PARTITION BY store_id{} ORDER BY {})"
+    near = "{}({}) IGNORE NULLS OVER (PARTITION BY store_id, none{} ORDER BY {})"
     by_chunk = lambda f, c: F.expr(near.format(f, c, "", "chunk"))
     within = lambda f: F.expr(near.format(f, "marker", ", chunk", "lsn"))
-    carried = here.select("store_id", "chunk", by_chunk("lag", "last_in").alias("carry_before"), by_chunk("lead", "first_in").alias("carry_after"))
-    seen = log.join(carried, ["store_id", "chunk"]).select(
-        "store_id", "lsn", "letter", "key", "value",
+    carried = here.select("store_id", "none", "chunk", by_chunk("lag", "last_in").alias("carry_before"), by_chunk("lead", "first_in").alias("carry_after"))
+    seen = log.join(carried, ["store_id", "none", "chunk"]).select(
+        F.when(~F.col("none"), F.col("store_id")).alias("store_id"), "lsn", "letter", "key", "value",
         F.coalesce(within("lag"), F.col("carry_before")).alias("before"), F.coalesce(within("lead"), F.col("carry_after")).alias("after"),
     )
     return seen.where("letter in ('P', 'D') and key is not null and (before is null or before = 'E' or after = 'E')").drop("before", "after")

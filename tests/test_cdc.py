@@ -51,6 +51,15 @@ def test_log_rules_hold_across_chunks(spark, chunk):
     assert rows(cdc.effective_log(log(spark, records), chunk), "store_id", "lsn", "letter", "key") == in_force(records)
 
 
+@pytest.mark.parametrize("chunk", [2, 1000])
+def test_rows_without_a_store_are_a_log_of_their_own(spark, chunk):
+    line = [(1, "P"), (3, "B"), (4, "P"), (6, "D"), (8, "E"), (9, "P"), (12, "B"), (13, "P")]
+    records = [(None, 1, n, t, b"a", b"v") for n, t in line] + [(0, 1, n, "P", b"a", b"z") for n in (2, 5, 14)]
+    records += [(0, 1, 11, "B", None, None)]
+    assert rows(cdc.effective_log(log(spark, records), chunk), "store_id", "lsn", "letter", "key") == in_force(records)
+    assert {r[1] for r in in_force(records) if r[0] is None} == {1, 4, 6, 9}
+
+
 def folded(records):
     newest = {}
     for s, k, n, op, v in records:
