@@ -17,6 +17,8 @@ from .maintenance import table
 
 LOW, HIGH, ONE, GONE = "u:00000040", "u:00000090", "u:00000042", "u:99999999"
 BLOCK, SPLIT = 512, 2048
+#: Adjacent runs that a partial merge makes one run of.
+MERGED = 4
 #: Levels as small as the test runs, so that scores pass 1.
 SMALL = Options(l0_trigger=4, level_base=10_000, level_mult=10)
 
@@ -209,6 +211,13 @@ def compact_keep(spark, sf_dir):
     return fold.latest(ops(spark, sf_dir).where("segment % 2 = 0").select("key", "seq", "op", "value")).select("key", "seq", "op")
 
 
+@_query(f"WITH {OPS_SQL} SELECT segment // {MERGED} AS run, key, seq, op FROM ops QUALIFY row_number() OVER (PARTITION BY segment // {MERGED}, key ORDER BY seq DESC) = 1")
+def compact_keep_all(spark, sf_dir):
+    """Merging each group of adjacent runs keeps tombstones; every run is in a group. ``compact_keep`` merges every second run only."""
+    rows = ops(spark, sf_dir).withColumn("run", F.floor(F.col("segment") / MERGED).cast("int"))
+    return fold.latest(rows.select("run", "key", "seq", "op", "value"), ["run", "key"]).select("run", "key", "seq", "op")
+
+
 @_query(f"WITH {LATEST_SQL} SELECT key, seq FROM latest WHERE op = 1")
 def compact_drop(spark, sf_dir):
     """Merging down to the bottom drops them."""

@@ -72,3 +72,12 @@ def test_pruning_counts_runs_of_every_level(spark, tmp_path):
     got = catalog.queries()["run_prune_all"](spark, str(tmp_path))
     hexed = lambda k: k.hex().upper()
     assert rows(got, "store_id", "key_hex", "may_hold") == order([(1, hexed(b"a"), 7), (1, hexed(b"m"), 7), (1, hexed(b"p"), 1), (1, hexed(b"zz"), 0), (2, hexed(b"a"), 0), (None, hexed(b"a"), 0)])
+
+
+def test_partial_merges_cover_every_run(spark, tmp_path):
+    from foldstone.plans import catalog
+
+    events = [(e, e % 2, "error" if e == 5001 else "view", "x") for e in (10, 1010, 3011, 4001, 5001, 5002, 9003)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.queries()["compact_keep_all"](spark, str(tmp_path))
+    assert rows(got, "run", "seq", "op") == order([(0, 1010, 1), (0, 3011, 1), (1, 5001, 0), (1, 5002, 1), (2, 9003, 1)])
