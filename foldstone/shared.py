@@ -20,6 +20,8 @@ def shared_root(spark: SparkSession) -> str:
     """The shared folder as a URI, and Spark's checkpoint folder set to it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = _LOCAL.setdefault("root", "file://" + tempfile.mkdtemp(prefix="foldstone-"))
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
@@ -27,8 +29,13 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder name below the shared folder; nothing is created yet."""
-    return f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+    """A new folder name below the shared folder and the application's own; nothing is created yet."""
+    return f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{purpose}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all that this application wrote below the shared folder. Results that are read later are gone with it."""
+    Folder(spark, shared_root(spark)).delete(spark.sparkContext.applicationId)
 
 
 def materialize(df: DataFrame, purpose: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -42,6 +49,10 @@ def materialize(df: DataFrame, purpose: str, partition_by: list[str] | None = No
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Schemes of file systems with an atomic rename that refuses an existing target, or (file) with hard links.
+ATOMIC = {"file", "hdfs", "viewfs", "ofs", "abfs", "abfss"}
+
+
 class Folder:
     """File operations on a shared folder through Hadoop's file system, so any scheme works."""
 
@@ -79,8 +90,11 @@ class Folder:
 
         The content is complete before the name appears, and of several writers that want one
         name exactly one gets True: the temporary file is renamed, and Hadoop's rename refuses an
-        existing target; on a local disk a hard link gives the same guarantee.
+        existing target; on a local disk a hard link gives the same guarantee. File systems whose rename
+        isn't atomic (object stores) are refused, as two writers could both win there.
         """
+        if self._fs.getScheme() not in ATOMIC:
+            raise NotImplementedError(f"{self._fs.getScheme()}: files can't be created exclusively there; use one of {sorted(ATOMIC)}")
         hidden = f"{name.rpartition('/')[0]}/.{uuid.uuid4().hex}.tmp".lstrip("/")
         out = self._fs.create(self._path(hidden), False)
         try:

@@ -41,6 +41,8 @@ class Snapshot:
     next_run_id: int = 1
     next_segment: int = 1
     flushed_segment: int = 0
+    #: of each stream that is fed into the store, its last published batch
+    streams: dict[str, int] = field(default_factory=dict, hash=False)
     log: tuple[LogCommit, ...] = ()
     runs: tuple[RunMeta, ...] = ()
 
@@ -84,6 +86,8 @@ class Manifest:
     def commit(self, base: Snapshot, **changes) -> Snapshot:
         """Publish what follows ``base``."""
         new = replace(base, version=base.version + 1, **changes)
+        if len({r.id for r in new.runs}) < len(new.runs) or len({r.path for r in new.runs}) < len(new.runs):
+            raise Corrupt("a run would be listed twice")
         if not self.folder.create(f"manifest/{new.version:012d}.json", new.to_json()):
             raise Conflict(f"version {new.version} was published by another writer")
         return new

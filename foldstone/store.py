@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -21,6 +22,10 @@ from .sources import runs as run_files
 from .sources.manifest import LogCommit, Manifest, Snapshot
 
 
+#: Keys of a multi-get that are sent to the scan as values; Parquet's filters take that many.
+FEW_KEYS = 10
+
+
 class Batch:
     """Ordered commands that become visible together; of several on one key the last wins. It stays filled after ``write``."""
 
@@ -81,11 +86,13 @@ class Store:
 
         self._commit(rows, len(commands))
 
-    def write_rows(self, df: DataFrame, order: str | None = None) -> None:
+    def write_rows(self, df: DataFrame, order: str | None = None, stream: tuple[str, int] | None = None) -> None:
         """Commit a DataFrame with ``key``, ``value`` and optionally ``op`` (1 put, 0 delete) at once; the bulk way to write.
 
         With ``order`` the last row of each key by that column counts; without it keys must be unique. NULL keys
         are refused. A put with a NULL value stores the empty value. Other columns are ignored; an empty DataFrame publishes nothing.
+        ``stream`` (a name and a batch number) is published with the rows: a batch of that stream that isn't newer than
+        the last one published is left out.
         """
         self._ensure_open()
         op = F.col("op").cast("byte") if "op" in df.columns else F.lit(PUT).cast("byte")
@@ -100,11 +107,14 @@ class Store:
             ops = fold.latest(ops, seq="_order").drop("_order")
         elif ops.groupBy("key").count().where("count > 1").limit(1).count():
             raise InvalidWrite("a key comes twice, and no order is given")
-        self._commit(lambda seq: ops.select("key", F.lit(seq).cast("long").alias("seq"), "op", "value"), 1)
+        self._commit(lambda seq: ops.select("key", F.lit(seq).cast("long").alias("seq"), "op", "value"), 1, stream)
 
-    def _commit(self, rows, numbers: int) -> None:
+    def _commit(self, rows, numbers: int, stream: tuple[str, int] | None = None) -> None:
         while True:
             base = self.manifest.load()
+            if stream and base.streams.get(stream[0], -1) >= stream[1]:
+                return
+            streams = base.streams | ({stream[0]: stream[1]} if stream else {})
             name, files = run_files.write_rows(rows(base.next_seq), self.path, "log", rows_in_file=numbers)
             stats = run_files.measure(run_files.read_rows(self.spark, self.path, [name]))
             if not stats["record_count"]:
@@ -112,7 +122,7 @@ class Store:
                 return
             commit = LogCommit(base.next_segment, name, stats["record_count"], stats["data_length"], stats["min_seq"], stats["max_seq"], files)
             try:
-                new = self.manifest.commit(base, log=(*base.log, commit), next_seq=base.next_seq + numbers, next_segment=base.next_segment + 1)
+                new = self.manifest.commit(base, log=(*base.log, commit), next_seq=base.next_seq + numbers, next_segment=base.next_segment + 1, streams=streams)
                 break
             except Conflict:
                 self.folder.delete(name)  # written with numbers that another writer took; they are written anew
@@ -138,14 +148,27 @@ class Store:
 
     def get(self, key: bytes, version: int | None = None) -> bytes:
         """The value of one key, or ``NotFound``."""
-        rows = self.scan(key, key + b"\x00", version).take(1)
-        if not rows:
+        self._ensure_open()
+        at = self.manifest.load(version)
+        names = [*(c.path for c in at.log), *(r.path for r in run_files.prune(at.runs, key, key + b"\x00"))]
+        # an equality reaches the files' bloom filters; the newest of its few versions needs no shuffle
+        rows = run_files.read_rows(self.spark, self.path, names).where(F.col("key") == F.lit(key)).orderBy(F.desc("seq")).select("op", "value").take(1)
+        if not rows or rows[0].op != PUT:
             raise NotFound(key)
         return bytes(rows[0].value)
 
-    def multi_get(self, keys: DataFrame) -> DataFrame:
-        """``(key, status, value)`` of many keys; see ``fold.multi_get``."""
-        return fold.multi_get(self.ops(), keys)
+    def multi_get(self, keys: DataFrame, version: int | None = None) -> DataFrame:
+        """``(key, status, value)`` of many keys; see ``fold.multi_get``.
+
+        Runs beyond the least and greatest key aren't opened. Up to ``FEW_KEYS`` keys are sent to the scan, where
+        bounds and bloom filters pass over row groups; more are joined.
+        """
+        want = keys.select("key").where("key is not null").distinct()
+        low, high, n = want.agg(F.min("key"), F.max("key"), F.count("*")).first()
+        ops = self.ops(None if low is None else bytes(low), None if high is None else bytes(high) + b"\x00", version)
+        if n <= FEW_KEYS:
+            ops = ops.where(F.col("key").isin([r.key for r in want.collect()]))
+        return fold.multi_get(ops, want)
 
     def iterator(self, start: bytes | None = None, end: bytes | None = None) -> Iterator[tuple[bytes, bytes]] | None:
         """Live pairs in key order, one partition at a time, from one snapshot; None if the store is closed."""
@@ -177,13 +200,15 @@ class Store:
         if not base.log:
             return None
         rows = fold.latest(run_files.read_rows(self.spark, self.path, [c.path for c in base.log]))
-        made = self._write_run(rows, sum(c.data_length for c in base.log), sum(c.record_count for c in base.log), 0, base.next_run_id)
+        made = self._write_run(rows, sum(c.data_length for c in base.log), sum(c.record_count for c in base.log), 0)
         while True:
             newer = self.manifest.load()
             if newer.log[: len(base.log)] != base.log:
                 raise Conflict("the commits were flushed by another writer")
+            # ids are taken from the snapshot that is followed, which may be newer than the one that was read
+            made = self._numbered(made, newer.next_run_id)
             try:
-                self.manifest.commit(newer, log=newer.log[len(base.log) :], runs=(*made, *newer.runs), flushed_segment=base.log[-1].segment, next_run_id=max(newer.next_run_id, base.next_run_id + len(made)))
+                self.manifest.commit(newer, log=newer.log[len(base.log) :], runs=(*made, *newer.runs), flushed_segment=base.log[-1].segment, next_run_id=newer.next_run_id + len(made))
                 break
             except Conflict:
                 continue
@@ -191,8 +216,14 @@ class Store:
             self.compact()
         return made[0] if made else None
 
-    def _write_run(self, rows: DataFrame, data_bytes: int, count: int, level: int, first_id: int) -> list[RunMeta]:
-        """Write rows as runs of about the level's file size with disjoint key ranges, one file each."""
+    def _numbered(self, made: list[RunMeta], first_id: int) -> list[RunMeta]:
+        """Runs that are about to be published, with their ids; ``Corrupt`` if a vacuum took their files meanwhile."""
+        for r in made:
+            run_files.check_files(self.folder, r.path, r.files, "an unpublished run")
+        return [replace(r, id=first_id + i) for i, r in enumerate(made)]
+
+    def _write_run(self, rows: DataFrame, data_bytes: int, count: int, level: int) -> list[RunMeta]:
+        """Write rows as runs of about the level's file size with disjoint key ranges, one file each. They have no ids yet."""
         ranges = max(1, -(-data_bytes // self.options.file_target(level)))
         name, files = run_files.write_rows(rows, self.path, "runs", rows_in_file=max(1, count // ranges), ranges=ranges)
         if not files:
@@ -201,7 +232,7 @@ class Store:
         stats = read.groupBy("file").agg(F.count("*").alias("n"), F.countDistinct("key").alias("keys"), F.sum("size").alias("bytes"), F.min("key").alias("low"), F.max("key").alias("high"), F.max("seq").alias("seq")).orderBy("low").collect()
         if any(r.n != r.keys for r in stats):
             raise Corrupt("a run would hold a key twice")
-        return [RunMeta(first_id + i, level, f"{name}/{r.file}", files[r.file], r.n, r.bytes, bytes(r.low), bytes(r.high), r.seq, {r.file: files[r.file]}) for i, r in enumerate(stats)]
+        return [RunMeta(0, level, f"{name}/{r.file}", files[r.file], r.n, r.bytes, bytes(r.low), bytes(r.high), r.seq, {r.file: files[r.file]}) for r in stats]
 
     def compact(self) -> Plan | None:
         """Run the next due compaction; None if none is due. Input files stay until ``vacuum``, so readers keep them."""
@@ -214,13 +245,18 @@ class Store:
             rows = fold.latest(run_files.read_rows(self.spark, self.path, [r.path for r in plan.inputs]))
             if plan.bottommost:
                 rows = rows.where(F.col("op") == PUT)  # after the fold; nothing deeper could come back
-            made = self._write_run(rows, sum(r.data_length for r in plan.inputs), sum(r.record_count for r in plan.inputs), plan.output_level, base.next_run_id)
-            gone = {r.id for r in plan.inputs}
-            try:
-                self.manifest.commit(base, runs=(*made, *(r for r in base.runs if r.id not in gone)), next_run_id=base.next_run_id + len(made))
-                return plan
-            except Conflict:
-                continue  # what was written is unreferenced; plan again from the newer snapshot
+            made = self._write_run(rows, sum(r.data_length for r in plan.inputs), sum(r.record_count for r in plan.inputs), plan.output_level)
+            gone = {r.path for r in plan.inputs}
+            while True:
+                newer = self.manifest.load()
+                if not gone <= {r.path for r in newer.runs} or (plan.bottommost and {r.path for r in newer.runs if r.level > plan.output_level} - {r.path for r in base.runs}):
+                    break  # another compaction took inputs, or put runs below; what was written is unreferenced
+                made = self._numbered(made, newer.next_run_id)
+                try:
+                    self.manifest.commit(newer, runs=(*made, *(r for r in newer.runs if r.path not in gone)), next_run_id=newer.next_run_id + len(made))
+                    return plan
+                except Conflict:
+                    continue
 
     def vacuum(self, keep_versions: int = 1, older_than: float = 3600) -> list[str]:
         """Delete folders that none of the newest snapshots lists and that nobody has written to for ``older_than`` seconds."""

@@ -260,3 +260,66 @@ def test_memory_store_is_gone_when_closed(spark):
     assert path.exists()
     store.close()
     assert not path.exists()
+
+
+def test_a_compaction_inside_a_flush(spark, tmp_path, monkeypatch):
+    """Run ids stay unique and nothing is lost when a compaction publishes between a flush's reading and its commit."""
+    options = Options(auto_flush=False, auto_compact=False, l0_trigger=2)
+    store, other = (st.open_store(spark, f"file://{tmp_path}/s", options) for _ in range(2))
+    for i in range(2):
+        bulk(store, [(f"k{i}", "old"), ("z", "1")])
+        store.flush()
+    bulk(store, [("new", "1")])
+    write = store._write_run
+
+    def slow(*args):
+        made = write(*args)
+        if args[3] == 0:
+            other.compact()
+        return made
+
+    monkeypatch.setattr(store, "_write_run", slow)
+    store.flush()
+    ids = [r.id for r in store.snapshot().runs]
+    assert len(set(ids)) == len(ids) == 2
+    bulk(store, [("more", "1")])
+    monkeypatch.undo()
+    store.flush()
+    store.compact()
+    assert [k for k, _ in store.iterator()] == [b"k0", b"k1", b"more", b"new", b"z"]
+
+
+def test_a_flush_inside_a_compaction(spark, tmp_path, monkeypatch):
+    options = Options(auto_flush=False, auto_compact=False, l0_trigger=2)
+    store, other = (st.open_store(spark, f"file://{tmp_path}/s", options) for _ in range(2))
+    for i in range(2):
+        bulk(store, [(f"k{i}", "old")])
+        store.flush()
+    write = store._write_run
+
+    def slow(*args):
+        made = write(*args)
+        bulk(other, [("k0", "new")])
+        other.flush()
+        return made
+
+    monkeypatch.setattr(store, "_write_run", slow)
+    store.compact()
+    assert dict(store.iterator()) == {b"k0": b"new", b"k1": b"old"} and len({r.id for r in store.snapshot().runs}) == 2
+
+
+def test_repeated_run_ids_are_refused(store):
+    bulk(store, [("a", "1")])
+    store.flush()
+    at = store.snapshot()
+    with pytest.raises(Corrupt):
+        store.manifest.commit(at, runs=(*at.runs, *at.runs))
+
+
+def test_multi_get_of_few_and_many_keys(store):
+    bulk(store, [(f"k{i:02d}", str(i)) for i in range(40)] + [("k05", None)])
+    store.flush()
+    bulk(store, [("k07", "x")])
+    for wanted in ([], ["k05", "k07", "nope"], [f"k{i:02d}" for i in range(0, 60)]):
+        got = {r.key.decode(): r.status for r in store.multi_get(store.spark.createDataFrame([(b(k),) for k in wanted] * 2, "key binary")).collect()}
+        assert got == {k: "deleted" if k == "k05" else "value" if k < "k40" else "missing" for k in wanted}
