@@ -78,11 +78,11 @@ def lower_bound(table: DataFrame, probes: DataFrame, key: str = "key", probe: st
     # of equal ones the probe comes first, so that it finds the equal key ahead of it
     ahead = "lead(CASE WHEN is_probe = 0 THEN k END) IGNORE NULLS OVER (PARTITION BY part ORDER BY k, is_probe DESC)"
     near = ranged.withColumn("found", F.expr(ahead))
-    firsts = ranged.where("is_probe = 0").groupBy("part").agg(F.min("k").alias("first_key"))
-    # as many rows as partitions
-    after = firsts.select(F.col("part").alias("later"), "first_key")
+    # as many rows as partitions: for each the first key of the next one that has a key
+    heads = ranged.groupBy("part").agg(F.min(F.when(F.col("is_probe") == 0, F.col("k"))).alias("first_key"))
+    after = heads.select("part", F.expr("lead(first_key) IGNORE NULLS OVER (ORDER BY part)").alias("next_key"))
     missing = near.where("is_probe = 1 and found is null").select("k", "part")
-    carried = missing.join(F.broadcast(after), F.col("later") > F.col("part"), "left").groupBy("k").agg(F.min("first_key").alias("found"))
+    carried = missing.join(after, "part", "left").select("k", F.col("next_key").alias("found"))
     hit = near.where("is_probe = 1 and found is not null").select("k", "found")
     return hit.unionByName(carried).select(F.col("k").alias(probe), "found")
 
@@ -110,15 +110,24 @@ def valid_prefix(log: DataFrame, segment: str, order: str, bad: Column) -> DataF
     return joined.where(F.col("_first_bad").isNull() | (F.col(order) < F.col("_first_bad"))).drop("_segment", "_first_bad")
 
 
-def closed_batches(log: DataFrame, segment: str, order: str, type_col: str) -> DataFrame:
+def closed_batches(log: DataFrame, segment: str, order: str, type_col: str, by: Sequence[str] = ()) -> DataFrame:
     """Puts and deletes in force: outside of batches, or in a batch that is closed before another begins.
 
-    Types are P, D, B (begin) and E (end). Batches don't cross segments.
+    Types are P, D, B (begin) and E (end). The log of each ``by`` runs on from segment to segment (a NULL segment is the
+    first), and so do open batches. Markers are looked up within a segment, and only the first and the last one of each
+    segment is carried to the others, so a log is never a single task.
     """
-    near = "{}(CASE WHEN %s IN ('B', 'E') THEN %s END) IGNORE NULLS OVER (PARTITION BY %s ORDER BY %s)" % (type_col, type_col, segment, order)
-    marked = log.withColumn("_before", F.expr(near.format("lag"))).withColumn("_after", F.expr(near.format("lead")))
-    ok = F.col("_before").isNull() | (F.col("_before") == "E") | (F.col("_after") == "E")
-    return marked.where(F.col(type_col).isin("P", "D") & F.coalesce(ok, F.lit(False))).drop("_before", "_after")
+    names = [f"_by{i}" for i in range(len(by))]
+    same = lambda: reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip([segment, *by], ["_segment", *names])])
+    marker = F.when(F.col(type_col).isin("B", "E"), F.col(type_col))
+    ends = log.groupBy(F.col(segment).alias("_segment"), *(F.col(c).alias(n) for c, n in zip(by, names))).agg(F.max_by(marker, F.when(marker.isNotNull(), F.col(order))).alias("_last"), F.min_by(marker, F.when(marker.isNotNull(), F.col(order))).alias("_first"))
+    # one row a segment
+    along = "{} IGNORE NULLS OVER (%s ORDER BY _segment NULLS FIRST)" % (f"PARTITION BY {', '.join(names)}" if names else "")
+    carried = ends.select("_segment", *names, F.expr(along.format("lag(_last)")).alias("_carried"), F.expr(along.format("lead(_first)")).alias("_coming"))
+    near = "{}(CASE WHEN `%s` IN ('B', 'E') THEN `%s` END) IGNORE NULLS OVER (PARTITION BY %s ORDER BY `%s`)" % (type_col, type_col, ", ".join(f"`{c}`" for c in (segment, *by)), order)
+    marked = log.withColumn("_before", F.expr(near.format("lag"))).withColumn("_after", F.expr(near.format("lead"))).join(carried, same(), "left")
+    before, after = F.coalesce("_before", "_carried"), F.coalesce("_after", "_coming")
+    return marked.where(F.col(type_col).isin("P", "D") & F.coalesce(before.isNull() | (before == "E") | (after == "E"), F.lit(False))).select(*log.columns)
 
 
 def nearest_rank(df: DataFrame, value: str, percent: int, by: Sequence[str] = ()) -> DataFrame:

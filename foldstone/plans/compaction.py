@@ -7,10 +7,12 @@ DataFrames serve tables of the metadata of very many stores.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..model import Options
+from ..shared import materialize
 
 
 @dataclass(frozen=True)
@@ -124,9 +126,31 @@ def overlap_counts(left: DataFrame, right: DataFrame, by: list[str], left_id: st
     none = [F.lit(None).cast("long").alias("q"), F.lit(0).alias("kind")]
     asks = lambda kind: [F.col(left_id).cast("long").alias("q"), F.lit(kind).alias("kind")]
     line = row(right, "min_key", 0, 1, 0, none).unionByName(row(left, "max_key", 1, 0, 0, asks(1))).unionByName(row(right, "max_key", 2, 0, 1, none)).unionByName(row(left, "min_key", 1, 0, 0, asks(-1)))
-    along = Window.partitionBy(*by).orderBy("k", "at").rowsBetween(Window.unboundedPreceding, 0)
-    counted = line.select(*by, "q", F.when(F.col("kind") == 1, F.sum("s").over(along)).when(F.col("kind") == -1, -F.sum("e").over(along)).alias("n"))
-    return counted.where("q is not null").groupBy(*by, "q").agg(F.sum("n").alias("overlapping")).withColumnRenamed("q", left_id)
+    # cut into ranges, so that no store's line is one task; what came before a range is carried into it. Written, as it is read twice
+    ranged = materialize(line.repartitionByRange(*by, "k", "at").withColumn("part", F.spark_partition_id()), "overlap-line")
+    # as many rows as groups in ranges
+    sums = ranged.groupBy(*(F.col(c).alias(f"_{c}") for c in by), F.col("part").alias("_part")).agg(F.sum("s").alias("s_here"), F.sum("e").alias("e_here"))
+    earlier = Window.partitionBy(*(f"_{c}" for c in by)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(*(f"_{c}" for c in by), "_part", *(F.coalesce(F.sum(f"{c}_here").over(earlier), F.lit(0)).alias(f"{c}_before") for c in "se"))
+    along = Window.partitionBy(*by, "part").orderBy("k", "at").rowsBetween(Window.unboundedPreceding, 0)
+    near = ranged.select("*", *(F.sum(c).over(along).alias(f"{c}_near") for c in "se")).where("q is not null")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*by, "part"]])
+    counted = near.join(carried, same).select(*by, "q", F.when(F.col("kind") == 1, F.col("s_near") + F.col("s_before")).otherwise(-F.col("e_near") - F.col("e_before")).alias("n"))
+    return counted.groupBy(*by, "q").agg(F.sum("n").alias("overlapping")).withColumnRenamed("q", left_id)
+
+
+def pick_next(meta: DataFrame, options: Options = Options(), store: str = "store_id") -> DataFrame:
+    """``(store, id, level)`` of the inputs of each store's compaction from its level with the greatest score to the next one.
+
+    The source is the oldest run of that level (the least id), and with it go the runs of the next level that
+    share a key with it. One source a store is joined on the store, so no run meets another run.
+    """
+    rows = meta.select(store, "id", "level", "min_key", "max_key")
+    chosen = pick_level(meta, options, store).select(F.col(store).alias("_s"), F.col("level").alias("_l"))
+    here = rows.join(chosen, F.col(store).eqNullSafe(F.col("_s")) & (F.col("level") == F.col("_l")))
+    oldest = here.groupBy("_s", "_l").agg(F.min(F.struct("id", "min_key", "max_key")).alias("o")).select("_s", "_l", "o.id", F.col("o.min_key").alias("low"), F.col("o.max_key").alias("high"))
+    below = rows.join(oldest.select("_s", "_l", "low", "high"), F.col(store).eqNullSafe(F.col("_s")) & (F.col("level") == F.col("_l") + 1)).where("max_key >= low and min_key <= high")
+    return oldest.select(F.col("_s").alias(store), "id", F.col("_l").alias("level")).unionByName(below.select(store, "id", "level"))
 
 
 def bottommost(plans: DataFrame, meta: DataFrame, store: str = "store_id") -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import bloom
 from ..model import Options
 from ..operators import chunking, fold
+from ..shared import work_dir
+from ..sources import binary, recovery
 from ..store import open_store
 from . import compaction
 from .maintenance import table
@@ -159,14 +161,32 @@ def valid_prefix(spark, sf_dir):
     return fold.valid_prefix(rows, "segment", "seq", (F.col("op") == 0) & (F.col("seq") % 97 == 0)).select("key", "seq", "segment")
 
 
-@_query(f"""
-    WITH {OPS_SQL}, t AS (SELECT *, CASE event_type WHEN 'signup' THEN 'B' WHEN 'purchase' THEN 'E' WHEN 'error' THEN 'D' ELSE 'P' END AS kind FROM ops),
-    m AS (SELECT *, last_value(CASE WHEN kind IN ('B', 'E') THEN kind END IGNORE NULLS) OVER (PARTITION BY segment ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
-                 first_value(CASE WHEN kind IN ('B', 'E') THEN kind END IGNORE NULLS) OVER (PARTITION BY segment ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM t)
-    SELECT key, seq, kind FROM m WHERE kind IN ('P', 'D') AND (before IS NULL OR before = 'E' OR (before = 'B' AND after = 'E'))""")
-def batch_atomicity(spark, sf_dir):
+_BATCH_SQL = f"""{OPS_SQL}, t AS (SELECT *, CASE event_type WHEN 'signup' THEN 'B' WHEN 'purchase' THEN 'E' WHEN 'error' THEN 'D' ELSE 'P' END AS kind FROM ops),
+    m AS (SELECT *, last_value(CASE WHEN kind IN ('B', 'E') THEN kind END IGNORE NULLS) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+                 first_value(CASE WHEN kind IN ('B', 'E') THEN kind END IGNORE NULLS) OVER (ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM t),
+    kept AS (SELECT key, seq, kind, value FROM m WHERE kind IN ('P', 'D') AND (before IS NULL OR before = 'E' OR (before = 'B' AND after = 'E')))"""
+
+
+def _kinds(spark, sf_dir):
     kind = F.when(F.col("event_type") == "signup", "B").when(F.col("event_type") == "purchase", "E").when(F.col("event_type") == "error", "D").otherwise("P")
-    return fold.closed_batches(ops(spark, sf_dir).withColumn("kind", kind), "segment", "seq", "kind").select("key", "seq", "kind")
+    return ops(spark, sf_dir).withColumn("kind", kind)
+
+
+@_query(f"WITH {_BATCH_SQL} SELECT key, seq, kind FROM kept")
+def batch_atomicity(spark, sf_dir):
+    """Records in force; a batch may go on in later segments."""
+    return fold.closed_batches(_kinds(spark, sf_dir), "segment", "seq", "kind").select("key", "seq", "kind")
+
+
+@_query(f"""WITH {_BATCH_SQL} SELECT key, coalesce(value, '') AS value FROM (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE kind = 'P'""")
+def recover_log(spark, sf_dir):
+    """The event log written as binary segments, recovered into an empty store and scanned."""
+    rows = _kinds(spark, sf_dir)
+    path = work_dir(spark, "segments")
+    binary.write_log(rows.select((F.col("segment") + 1).alias("segment"), F.col("seq").alias("lsn"), F.col("kind").alias("type"), F.encode("key", "UTF-8").alias("key"), F.encode("value", "UTF-8").alias("value")), path)
+    store = open_store(spark, work_dir(spark, "recovered"), Options(auto_flush=False))
+    recovery.recover(store, path)
+    return store.scan().select(F.decode("key", "UTF-8").alias("key"), F.decode("value", "UTF-8").alias("value"))
 
 
 _SIZE = "(5 + length(key) + CASE WHEN op = 1 THEN 4 + coalesce(length(value), 0) ELSE 0 END)"
@@ -283,6 +303,16 @@ def pick_l0_inputs(spark, sf_dir):
     return compaction.pick_l0(_meta(spark, sf_dir), SMALL)
 
 
+@_query(f"""WITH {_META_SQL}, s AS (SELECT store_id, level, sum(coalesce(file_size, 0)) / ({SMALL.level_base} * pow({SMALL.level_mult}, level - 1)) AS score FROM meta WHERE level BETWEEN 1 AND {SMALL.max_levels - 2} GROUP BY store_id, level),
+    best AS (SELECT store_id AS st, level AS lv FROM s WHERE score > 1 QUALIFY row_number() OVER (PARTITION BY store_id ORDER BY score DESC, level) = 1),
+    src AS (SELECT store_id AS st, level AS lv, id, min_key, max_key FROM meta JOIN best ON store_id IS NOT DISTINCT FROM st AND level = lv QUALIFY row_number() OVER (PARTITION BY store_id ORDER BY id) = 1)
+    SELECT st AS store_id, id, CAST(lv AS INTEGER) AS level FROM src UNION ALL
+    SELECT m.store_id, m.id, m.level FROM meta m JOIN src ON m.store_id IS NOT DISTINCT FROM st AND m.level = lv + 1 AND m.max_key >= src.min_key AND m.min_key <= src.max_key""")
+def pick_next_inputs(spark, sf_dir):
+    """The inputs of each store's compaction from its fullest level to the next."""
+    return compaction.pick_next(_meta(spark, sf_dir), SMALL)
+
+
 @_query(f"""WITH {_META_SQL} SELECT a.store_id, a.level, a.id, count(b.id) AS overlapping FROM meta a LEFT JOIN meta b
     ON b.store_id = a.store_id AND b.level = a.level + 1 AND b.max_key >= a.min_key AND b.min_key <= a.max_key
     WHERE a.level IS NOT NULL AND a.min_key IS NOT NULL AND a.max_key IS NOT NULL GROUP BY a.store_id, a.level, a.id""")
