@@ -2,27 +2,30 @@
 
 Pages are taken as counts of folded words (see ``print_text``), with line breaks and hyphens
 undone. For each language one topic model is fitted by variational passes over all pages: each
-pass sends the topics (at most vocabulary times topics numbers) to the workers and adds up what the pages
+pass sends the topics (vocabulary times topics numbers) to the workers and adds up what the pages
 give, by word and topic, in one shuffle. Topics start near a few terms that were inspected for each
 subject and some topics are left free for what pages have in common (names, weekdays, adverts).
 After the fit, a topic belongs to the subject whose inspected terms are most among its top
 terms, or to none; a page treats the subjects whose topics take enough of its words.
 
-Each language has its own vocabulary. A word on many of its pages is left out only if it is as common on
-pages with the inspected terms of a subject as on the others, for every subject (function words, most of adverts); a
-large subject keeps its words. Words on fewer than ``MIN_PAGES`` pages of the language are left out, unless they are
-inspected, whatever the corpus's size; so the vocabulary, which each worker gets, grows with the corpus, slower than its pages.
+Each language has its own vocabulary: the inspected terms, and every word that is more common on pages with inspected terms of
+some subject than on the others, by a ratio and beyond chance. It doesn't matter on how many pages a word stands: a large subject keeps
+its words, and so does a subject of a few pages. Function words, adverts, names and misread forms of these are even over the
+subjects and stay out; they would be most of the vocabulary and grow with the corpus.
+
+Fitted models can be saved and applied to other pages (``save``, ``load``, ``assign``).
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..shared import materialize
 from .print_text import fold_words
@@ -48,10 +51,11 @@ INSPECTED = {
     "weather": {"en": "blizzard thermometer rainfall drizzle frost thundered", "de": "gewitter nebel kälte tauwetter sturm vereiste", "fr": "pluie orageux brumeux tempête neige brouillard"},
 }
 
-MIN_PAGES, MAX_SHARE = 3, 0.12
-#: A word on more than MAX_SHARE of a language's pages must be so many times as common on the pages of some subject as on the rest.
-#: Pages of a subject have ANCHORS of its inspected terms; PRIOR pages of the mean share are added on both sides.
-UNEVEN, ANCHORS, PRIOR = 1.5, 2, 5
+#: A word must be so many times as common on the pages of some subject as on the rest, and so many standard deviations more common than
+#: by chance. Pages of a subject have ANCHORS of its inspected terms; PRIOR pages of the mean share are added on both sides.
+UNEVEN, BEYOND, ANCHORS, PRIOR = 1.5, 4.0, 2, 5
+#: Where this share of a language's pages has terms of one subject, there is nothing to compare its words with, and all words on FREQUENT of the pages count.
+NEARLY_ALL, FREQUENT = 0.65, 0.1
 #: Topics without a subject in each language, passes of the fit, rounds of one page's inference, priors.
 FREE, PASSES, ROUNDS, ALPHA, ETA = 4, 4, 12, 0.1, 0.05
 #: Words of a subject's topics that a page must have for the subject.
@@ -60,20 +64,32 @@ TOP_TERMS = 40
 _HYPHEN = re.compile(r"[-=~¬­‐] *\r?\n")
 
 
+def _all_words(text: str | None) -> list[str]:
+    return fold_words(_HYPHEN.sub("", text)) if text else []
+
+
 def page_words(text: str | None) -> list[str]:
     """Folded words of at least three letters, hyphens at line ends undone."""
-    return [w for w in fold_words(_HYPHEN.sub("", text)) if len(w) > 2] if text else []
+    return [w for w in _all_words(text) if len(w) > 2]
 
 
 LANGUAGES = list(FUNCTION_WORDS)
-_FUNCTION = {lang: set(fold_words(ws)) for lang, ws in FUNCTION_WORDS.items()}
+_FUNCTION = [set(fold_words(ws)) for ws in FUNCTION_WORDS.values()]
+
+
+def _language(words: Counter) -> int:
+    counts = [sum(words[w] for w in own) for own in _FUNCTION]
+    return counts.index(max(counts)) if max(counts) else -1
 
 
 def language(text: str | None) -> int:
     """Index in LANGUAGES of the language whose common words are most in the page; -1 without any."""
-    got = Counter(fold_words(text)) if text else {}
-    counts = [sum(n for w, n in got.items() if w in own) for own in _FUNCTION.values()]
-    return int(np.argmax(counts)) if max(counts) else -1
+    return _language(Counter(_all_words(text)))
+
+
+def inspected_terms(subjects: list[str]) -> list[list[set[str]]]:
+    """The folded inspected terms of each language and subject."""
+    return [[set(fold_words(INSPECTED.get(s, {}).get(lang, ""))) for s in subjects] for lang in LANGUAGES]
 
 
 class Model:
@@ -143,106 +159,105 @@ def infer(topics: np.ndarray, starts: np.ndarray, ids: np.ndarray, counts: np.nd
     return words, part
 
 
-def _chunks(batch: pa.RecordBatch, keep: list[np.ndarray], pages: int = 1000):
-    """(ids, language, starts, word ids, counts) of the pages of a batch by language, in pieces that keep inference small.
-
-    Words that ``keep`` hasn't, and pages with no others, are left out.
-    """
+def _chunks(batch: pa.RecordBatch, pages: int = 1000):
+    """(ids, language, starts, word ids, counts) of the pages of a batch by language, in pieces that keep inference small."""
     for lo in range(0, batch.num_rows, pages):
         part = batch.slice(lo, pages)
         langs = part.column(1).to_numpy()
         for lang in np.unique(langs):
             own = part.filter(pa.array(langs == lang))
-            ids, page = _flat(own)
-            kept = keep[lang][ids]
-            present, starts = np.unique(page[kept], return_index=True)
-            if len(present):
-                yield own.column(0).take(pa.array(present)), int(lang), starts, ids[kept], own.column(3).flatten().to_numpy()[kept]
-
+            words = own.column(2)
+            yield own.column(0), int(lang), (words.offsets.to_numpy()[:-1] - words.offsets[0].as_py()), words.flatten().to_numpy(), own.column(3).flatten().to_numpy()
 
-def _flat(own: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """The word ids of a batch and the row of each."""
-    words = own.column(2)
-    return words.flatten().to_numpy(), np.repeat(np.arange(own.num_rows), np.diff(words.offsets.to_numpy()))
 
+def _lists(flat: pa.Array, sizes: list[int]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), pa.int32()), flat)
 
-def _page_counts(batches):
-    """Of each batch, the number of pages of a language that have each word; of the word '', that there are."""
-    for batch in batches:
-        seen: Counter = Counter()
-        for text in batch.column(0).to_pylist():
-            if (lang := language(text)) >= 0:
-                seen.update((lang, w) for w in {"", *page_words(text)})
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.int32()), pa.array([w for _, w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "pages"])
 
+def _tokenise(subjects: list[str]):
+    """Each page in a known language with the words of three letters and more, their counts, and (a bit each) the subjects that it has inspected terms of."""
+    terms = [{w: [s for s in range(len(subjects)) if w in own[s]] for own_s in own for w in own_s} for own in inspected_terms(subjects)]
 
-def _encode(vocabularies):
     def run(batches):
-        at = [{w: i for i, w in enumerate(v)} for v in vocabularies.value]
         for batch in batches:
-            rows, langs, ids, counts = [], [], [], []
+            rows, langs, anchors, words, counts, sizes = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                lang = language(text)
-                own = Counter(at[lang][w] for w in page_words(text) if w in at[lang]) if lang >= 0 else None
-                if own:
-                    rows.append(i)
-                    langs.append(lang)
-                    ids.append(list(own))
-                    counts.append(list(own.values()))
+                got = Counter(_all_words(text))
+                lang = _language(got)
+                if lang < 0:
+                    continue
+                hits = Counter(s for w in terms[lang].keys() & got.keys() for s in terms[lang][w])
+                own = [w for w in got if len(w) > 2]
+                rows.append(i)
+                langs.append(lang)
+                anchors.append(sum(1 << s for s, n in hits.items() if n >= ANCHORS))
+                words += own
+                counts += [got[w] for w in own]
+                sizes.append(len(own))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(langs, pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["id", "lang", "words", "counts"]
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(langs, pa.int32()), pa.array(anchors, pa.int64()), _lists(pa.array(words, pa.string()), sizes), _lists(pa.array(counts, pa.int32()), sizes)],
+                ["id", "lang", "anchors", "words", "counts"],
             )
 
     return run
 
 
-def _spread(inspected, common):
-    """Of each subject with its inspected terms, the pages of a partition, and those with each common word (-1: all pages).
-
-    A subject one past the last stands for all pages.
-    """
+def _encode(vocabularies):
+    """Pages as ids of the words of their language's vocabulary; pages without any are left out."""
 
     def run(batches):
-        total: dict[int, np.ndarray] = {}
+        known = [pa.array(v, pa.string()) for v in vocabularies.value]
         for batch in batches:
-            langs = batch.column(1).to_numpy()
-            for lang in map(int, np.unique(langs)):
-                own = batch.filter(pa.array(langs == lang))
-                ids, page = _flat(own)
-                terms, words = inspected.value[lang], common.value[lang]
-                at = np.full(terms.shape[1], -1)
-                at[words] = np.arange(len(words))
-                asked = at[ids] >= 0
-                mine = total.setdefault(lang, np.zeros((len(terms) + 1, len(words) + 1)))
-                for s in range(len(terms) + 1):
-                    its = np.bincount(page[terms[s][ids]], minlength=own.num_rows) >= ANCHORS if s < len(terms) else np.ones(own.num_rows, bool)
-                    mine[s, :-1] += np.bincount(at[ids[asked]], weights=its[page[asked]], minlength=len(words))
-                    mine[s, -1] += its.sum()
-        for lang, sums in total.items():
-            s, w = np.nonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), lang), pa.int32()), pa.array(s, pa.int32()), pa.array(np.append(common.value[lang], -1)[w], pa.int32()), pa.array(sums[s, w])], ["lang", "subject", "word", "pages"])
+            langs, words, counts = batch.column(1).to_numpy(), batch.column(2), batch.column(3)
+            page = np.repeat(np.arange(batch.num_rows), np.diff(words.offsets.to_numpy()))
+            flat, n = words.flatten(), counts.flatten().to_numpy()
+            ids = np.full(len(flat), -1, np.int32)
+            for lang in np.unique(langs):
+                own = np.flatnonzero(langs[page] == lang)
+                ids[own] = pc.index_in(flat.take(pa.array(own)), known[lang]).fill_null(-1).to_numpy()
+            kept = ids >= 0
+            present, sizes = np.unique(page[kept], return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(present)), pa.array(langs[present], pa.int32()), _lists(pa.array(ids[kept], pa.int32()), sizes), _lists(pa.array(n[kept], pa.int32()), sizes)], ["id", "lang", "words", "counts"]
+            )
 
     return run
 
 
-def uneven(having: np.ndarray, pages: np.ndarray) -> np.ndarray:
-    """Which words are more common on the pages of some subject than on the rest.
-
-    ``having`` (subjects and all, words): pages with each word; ``pages`` (subjects and all): pages.
-    """
-    prior = PRIOR * having[-1] / max(1, pages[-1])
-    inside = (having[:-1] + prior) / (pages[:-1, None] + PRIOR)
-    outside = (having[-1] - having[:-1] + prior) / (pages[-1] - pages[:-1, None] + PRIOR)
-    return (inside >= UNEVEN * outside).any(axis=0)
+def uneven(n: Column, having: list[Column], total: int, pages: list[int]) -> Column:
+    """Whether a word on ``n`` of ``total`` pages, ``having`` of them with terms of each subject, is more common on the ``pages`` of some subject than on the rest."""
+    prior, out = n * (PRIOR / max(1, total)), F.lit(False)
+    for own, its in zip(having, pages):
+        p = its / max(1, total)
+        ratio = (own + prior) / (its + PRIOR) >= (n - own + prior) * (UNEVEN / (total - its + PRIOR))
+        out = out | (ratio & (own - n * p >= F.sqrt(n * (p * (1 - p))) * BEYOND))
+        if p >= NEARLY_ALL:
+            out = out | (n >= FREQUENT * total)
+    return out
+
+
+def _vocabularies(words: DataFrame, subjects: list[str]) -> list[list[str]]:
+    """The words of each language that tell subjects apart, counted over all pages."""
+    totals = words.groupBy("lang", "anchors").count().collect()  # as many rows as sets of subjects that pages have
+    bit = lambda s: F.col("anchors").bitwiseAND(F.lit(1 << s)) != 0
+    counted = words.select("lang", "anchors", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"), *(F.count_if(bit(s)).alias(f"s{s}") for s in range(len(subjects))))
+    kept, terms = F.lit(False), inspected_terms(subjects)
+    for k in range(len(LANGUAGES)):
+        own = [r for r in totals if r.lang == k]
+        sizes = [sum(r["count"] for r in own if r.anchors >> s & 1) for s in range(len(subjects))]
+        asked = sorted(set().union(*terms[k]))
+        kept = kept | ((F.col("lang") == k) & (F.col("word").isin(asked) | uneven(F.col("n"), [F.col(f"s{s}") for s in range(len(subjects))], sum(r["count"] for r in own), sizes)))
+    found = counted.where(kept).select("lang", "word").toArrow().sort_by("word")
+    return [found.filter(pc.field("lang") == k)["word"].to_pylist() for k in range(len(LANGUAGES))]
 
 
-def _gather(topics, keep):
+def _gather(topics):
     """What a partition's pages give to each topic and word of their language."""
 
     def run(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for _, lang, starts, ids, counts in _chunks(batch, keep.value):
+            for _, lang, starts, ids, counts in _chunks(batch):
                 weights = topics.value[lang]
                 _, part = infer(weights, starts, ids, counts)
                 mine = total.setdefault(lang, np.zeros(weights.shape))
@@ -255,12 +270,12 @@ def _gather(topics, keep):
     return run
 
 
-def _assign(topics, of_topic, keep, subjects: list[str], least: float):
+def _assign(topics, of_topic, subjects: list[str], least: float):
     """The subjects of each page, with their words and share."""
 
     def run(batches):
         for batch in batches:
-            for page_ids, lang, starts, ids, counts in _chunks(batch, keep.value):
+            for page_ids, lang, starts, ids, counts in _chunks(batch):
                 words, _ = infer(topics.value[lang], starts, ids, counts)
                 member = np.array([[s == t for s in subjects] for t in of_topic.value[lang]], np.float32)
                 got = words @ member
@@ -275,79 +290,88 @@ def _assign(topics, of_topic, keep, subjects: list[str], least: float):
 
 
 class Fitted:
-    """The fitted models, and the pages as word counts ``(id, lang, words, counts)``."""
+    """The fitted models, and the pages as word counts ``(id, lang, words, counts)``. ``missing``: subjects that have no inspected terms."""
 
-    def __init__(self, pages: DataFrame, models: dict[int, Model], keep, id_col: str):
-        self.pages, self.models, self.keep, self.id_col = pages, models, keep, id_col
+    def __init__(self, pages: DataFrame, models: dict[int, Model], id_col: str):
+        self.pages, self.models, self.id_col = pages, models, id_col
+        self.missing = [s for s in next(iter(models.values())).subjects if not any(m.inspected[s] for m in models.values())]
 
     def subjects(self, least: float = MIN_WORDS) -> DataFrame:
         """``(id_col, subject, words, share)`` of every subject that a page treats."""
-        names = next(iter(self.models.values())).subjects
-        sc = self.pages.sparkSession.sparkContext
-        topics, mapped = sc.broadcast({k: m.topics() for k, m in self.models.items()}), sc.broadcast({k: m.mapped() for k, m in self.models.items()})
-        kind = self.pages.schema["id"].dataType.simpleString()
-        rows = self.pages.mapInArrow(_assign(topics, mapped, self.keep, names, least), f"id {kind}, subject string, words double, share double")
-        return rows.withColumnRenamed("id", self.id_col)
+        return _subjects(self.pages, self.models, self.id_col, least)
 
     def topics(self) -> DataFrame:
         """``(lang, topic, subject, terms)``: the top terms of each topic, to be inspected."""
         rows = [(LANGUAGES[k], i, m.mapped()[i], [m.vocabulary[w] for w in terms]) for k, m in self.models.items() for i, terms in enumerate(m.top_terms())]
         return self.pages.sparkSession.createDataFrame(rows, "lang string, topic int, subject string, terms array<string>")
 
+    def save(self, path: str) -> None:
+        """Write the models as a table of each topic's weights; ``load`` reads them back."""
+        rows = [(k, i, m.mapped()[i], m.subjects, m.vocabulary, m.weights[i].tolist()) for k, m in self.models.items() for i in range(len(m.weights))]
+        self.pages.sparkSession.createDataFrame(rows, "lang int, topic int, subject string, subjects array<string>, vocabulary array<string>, weights array<double>").coalesce(1).write.parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> dict[int, Model]:
+    """The models that ``Fitted.save`` wrote."""
+    out = {}
+    for r in spark.read.parquet(path).orderBy("lang", "topic").collect():
+        m = out.setdefault(r.lang, Model(r.vocabulary, LANGUAGES[r.lang], r.subjects))
+        m.weights[r.topic] = r.weights
+    return out
+
 
-def _kept(pages: DataFrame, models: dict[int, Model], common: list[np.ndarray]) -> list[np.ndarray]:
-    """Which words of each language count: all but common ones that are even over the subjects and not inspected."""
+def _subjects(pages: DataFrame, models: dict[int, Model], id_col: str, least: float) -> DataFrame:
+    names = next(iter(models.values())).subjects
     sc = pages.sparkSession.sparkContext
-    terms = [np.zeros((len(m.subjects), len(m.vocabulary)), bool) for m in models.values()]
-    for k, m in models.items():
-        for s, name in enumerate(m.subjects):
-            terms[k][s, sorted(m.inspected[name])] = True
-    spread = pages.mapInArrow(_spread(sc.broadcast(terms), sc.broadcast(common)), "lang int, subject int, word int, pages double").groupBy("lang", "subject", "word").agg(F.sum("pages").alias("pages")).toArrow()
-    keep = []
-    for k, words in enumerate(common):
-        own = spread.filter(pc.field("lang") == k)
-        having = np.zeros((len(terms[k]) + 1, len(models[k].vocabulary) + 1))
-        having[own["subject"].to_numpy(), own["word"].to_numpy()] = own["pages"].to_numpy()  # word -1 is the last column
-        kept = np.ones(len(models[k].vocabulary), bool)
-        kept[words] = uneven(having[:, words], having[:, -1]) | terms[k][:, words].any(axis=0)
-        keep.append(kept)
-    return keep
+    topics, mapped = sc.broadcast({k: m.topics() for k, m in models.items()}), sc.broadcast({k: m.mapped() for k, m in models.items()})
+    kind = pages.schema["id"].dataType.simpleString()
+    return pages.mapInArrow(_assign(topics, mapped, names, least), f"id {kind}, subject string, words double, share double").withColumnRenamed("id", id_col)
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+
+def _tokenised(docs: DataFrame, subjects: list[str], id_col: str, text_col: str) -> DataFrame:
+    kind = docs.schema[id_col].dataType.simpleString()
+    return _texts(docs, id_col, text_col).mapInArrow(_tokenise(subjects), f"id {kind}, lang int, anchors long, words array<string>, counts array<int>")
+
+
+def _encoded(words: DataFrame, vocabularies: list[list[str]]) -> DataFrame:
+    known = words.sparkSession.sparkContext.broadcast(vocabularies)
+    kind = words.schema["id"].dataType.simpleString()
+    return words.select("id", "lang", "words", "counts").mapInArrow(_encode(known), f"id {kind}, lang int, words array<int>, counts array<int>")
+
+
+def assign(docs: DataFrame, models: dict[int, Model], *, id_col: str = "doc_id", text_col: str = "text", least: float = MIN_WORDS) -> DataFrame:
+    """``(id_col, subject, words, share)`` of pages by models that were fitted before, in one pass without a shuffle."""
+    words = _tokenised(docs, next(iter(models.values())).subjects, id_col, text_col)
+    return _subjects(_encoded(words, [models[k].vocabulary for k in range(len(LANGUAGES))]), models, id_col, least)
 
 
 def fit(docs: DataFrame, areas: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", passes: int = PASSES) -> Fitted:
     """Fit the topic models of all pages of ``docs`` for the subjects of ``areas`` (column ``subject``; NULLs are left out).
 
     NULL, empty and blank texts, and texts without a word of the vocabulary or without a common word of a
-    known language, treat no subject. The whole text counts. Subjects without inspected terms are never given.
+    known language, treat no subject. The whole text counts. Subjects without inspected terms are never given; a warning
+    names them.
     """
     subjects = sorted({r.subject.strip().lower() for r in areas.where("subject is not null").select("subject").distinct().collect()})
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    words = texts.select("text").mapInArrow(_page_counts, "lang int, word string, pages long").groupBy("lang", "word").agg(F.sum("pages").alias("pages"))
-    inspected = [sorted({w for s in subjects for w in fold_words(INSPECTED.get(s, {}).get(lang, ""))}) for lang in LANGUAGES]
-    asked = [(F.col("lang") == k) & F.col("word").isin(ws) for k, ws in enumerate(inspected)]
-    kept = (F.col("pages") >= MIN_PAGES) | (F.col("word") == "") | asked[0]
-    for condition in asked[1:]:
-        kept = kept | condition
-    counted = words.where(kept).toArrow().sort_by("word")
-    vocabularies, common = [], []
-    for k in range(len(LANGUAGES)):
-        own = counted.filter(pc.field("lang") == k)
-        n = sum(own.filter(pc.field("word") == "")["pages"].to_pylist())
-        own = own.filter(pc.field("word") != "")
-        vocabularies.append(own["word"].to_pylist())
-        common.append(np.flatnonzero(own["pages"].to_numpy() > MAX_SHARE * n))
-    sc = docs.sparkSession.sparkContext
-    kind = docs.schema[id_col].dataType.simpleString()
-    pages = materialize(texts.mapInArrow(_encode(sc.broadcast(vocabularies)), f"id {kind}, lang int, words array<int>, counts array<int>"), "topic-pages")
+    words = materialize(_tokenised(docs, subjects, id_col, text_col), "topic-words")
+    vocabularies = _vocabularies(words, subjects)
+    pages = materialize(_encoded(words, vocabularies), "topic-pages")
     models = {k: Model(vocabularies[k], lang, subjects) for k, lang in enumerate(LANGUAGES)}
-    keep = sc.broadcast(_kept(pages, models, common))
+    sc = docs.sparkSession.sparkContext
     for _ in range(passes):
         topics = sc.broadcast({k: m.topics() for k, m in models.items()})
-        gathered = pages.mapInArrow(_gather(topics, keep), "lang int, topic int, word int, weight double").groupBy("lang", "topic", "word").agg(F.sum("weight").alias("weight")).toArrow()
+        gathered = pages.mapInArrow(_gather(topics), "lang int, topic int, word int, weight double").groupBy("lang", "topic", "word").agg(F.sum("weight").alias("weight")).toArrow()
         for k, m in models.items():
             own = gathered.filter(pc.field("lang") == k)
             weights = np.full_like(m.weights, ETA)
             weights[own["topic"].to_numpy(), own["word"].to_numpy()] += own["weight"].to_numpy()
             m.weights = weights
         topics.unpersist()
-    return Fitted(pages, models, keep, id_col)
+    fitted = Fitted(pages, models, id_col)
+    if none := [s for s in subjects if s not in INSPECTED]:
+        warnings.warn(f"subjects without inspected terms are given to no page: {none}", stacklevel=2)
+    return fitted

@@ -61,9 +61,40 @@ def test_a_subject_of_half_the_pages_keeps_its_words(spark, areas):
         got.setdefault(r.doc_id, set()).add(r.subject)
     sport = [i for i, _, s in made if s == "sport"]
     assert sum(got.get(i) == {"sport"} for i in sport) >= 0.97 * len(sport)
-    at, keep = {w: k for k, w in enumerate(fitted.models[0].vocabulary)}, fitted.keep.value[0]
-    assert all(keep[at[w]] for w in fold_words(topics.INSPECTED["sport"]["en"] + " innings pitch"))
-    assert not any(keep[at[w]] for w in fold_words("cocoa linen said with"))
+    vocabulary = set(fitted.models[0].vocabulary)
+    assert set(fold_words(topics.INSPECTED["sport"]["en"] + " innings pitch")) <= vocabulary
+    assert not vocabulary & set(fold_words("cocoa linen said with"))
+
+
+def test_a_subject_of_all_pages_is_found(spark, areas):
+    rng = random.Random(5)
+    made = []
+    for i in range(300):
+        own = topics.INSPECTED["law"]["en"].split() + ["bench", "witness", "clause", "court"]
+        text = [rng.choice(own) for _ in range(18)] + topics.FUNCTION_WORDS["en"].split() + ["cocoa", f"name{rng.randrange(99)}"]
+        made.append((i, " ".join(text)))
+    got = topics.fit(spark.createDataFrame(made, "doc_id long, text string"), areas).subjects()
+    assert got.where("subject = 'law'").count() >= 0.97 * 300 and got.where("subject <> 'law'").count() == 0
+
+
+def test_saved_models_assign_other_pages(spark, areas, tmp_path):
+    made = pages(3, 300)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in made], "doc_id long, text string")
+    fitted = topics.fit(docs.where("doc_id < 250"), areas)
+    fitted.save(f"file://{tmp_path}/model")
+    loaded = topics.load(spark, f"file://{tmp_path}/model")
+    assert rows(topics.assign(docs.where("doc_id < 250"), loaded), "doc_id", "subject") == rows(fitted.subjects(), "doc_id", "subject")
+    got = {}
+    for r in topics.assign(docs.where("doc_id >= 250"), loaded).collect():
+        got.setdefault(r.doc_id, set()).add(r.subject)
+    assert sum(got.get(i, set()) == s for i, _, s in made if i >= 250) >= 47
+
+
+def test_subjects_without_terms_are_named(spark, areas):
+    more = areas.unionByName(spark.createDataFrame([("astrology", "")], "subject string, scope_note string"))
+    with pytest.warns(UserWarning, match="astrology"):
+        fitted = topics.fit(spark.createDataFrame([(i, t) for i, t, _ in pages(4, 60)], "doc_id long, text string"), more)
+    assert fitted.missing == ["astrology"]
 
 
 def test_a_rare_subject_of_a_large_corpus_keeps_its_words(spark, areas):
