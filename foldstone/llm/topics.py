@@ -116,15 +116,15 @@ class Model:
         """The likeliest words of each topic, each weighed by how much likelier it is here than in all topics."""
         p = self.weights / self.weights.sum(1, keepdims=True)
         lift = p * np.log(p / p.mean(0, keepdims=True))
-        return [row.tolist() for row in np.argsort(-lift, axis=1)[:, :n]]
+        return [[w for w in row.tolist() if lift[k, w] > 0] for k, row in enumerate(np.argsort(-lift, axis=1)[:, :n])]
 
     def mapped(self) -> list[str | None]:
-        """The subject of each topic, by the inspected terms among its top terms."""
+        """The subject of each topic, by the inspected terms among its top terms: the one whose terms are likeliest, with two terms at least."""
         out = []
-        for row in self.top_terms():
-            hits = {s: len(terms & set(row)) for s, terms in self.inspected.items()}
-            best = max(hits, key=lambda s: hits[s], default=None)
-            out.append(best if best is not None and hits[best] >= 2 else None)
+        for k, row in enumerate(self.top_terms()):
+            hits = {s: sorted(terms & set(row)) for s, terms in self.inspected.items()}
+            best = max(hits, key=lambda s: self.weights[k, hits[s]].sum(), default=None)
+            out.append(best if best is not None and len(hits[best]) >= 2 else None)
         return out
 
 
