@@ -33,5 +33,5 @@ def test_the_core_runs_without_the_subpackage(tmp_path):
     repo = Path(q.__file__).resolve().parents[2]
     shutil.copytree(repo / "foldstone", tmp_path / "foldstone", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(repo / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'p1_found' in q and 'p6_ids' not in q"
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'p2_found' in q and 'p6_ids' not in q"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
