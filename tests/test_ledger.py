@@ -16,6 +16,9 @@ class Clock:
     def __call__(self):
         return self.now
 
+    def sleep(self, seconds):
+        self.now += seconds
+
 
 @pytest.fixture
 def clock():
@@ -24,7 +27,7 @@ def clock():
 
 @pytest.fixture
 def ledger(spark, clock):
-    return lg.Ledger(spark, work_dir(spark, "test-ledger"), clock)
+    return lg.Ledger(spark, work_dir(spark, "test-ledger"), clock, clock.sleep)
 
 
 def test_states_leases_and_fencing(ledger, clock):
@@ -92,24 +95,65 @@ def test_second_run_takes_only_what_came_since(spark, ledger):
     everything = table(spark, first + more)
     before = set(ledger.items())
     assert lg.plan_flush(ledger, everything, empty)
-    lg.run_items(ledger, everything, "again")
+    assert lg.run_items(ledger, everything, "again") == 1
     fresh = ledger.done_output().where(~lg.F.col("item").isin(list(before)))
     assert rows(fresh, "store_id", "lsn") == [(1, 4), (1, 5), (2, 1)]
 
 
 def test_a_run_that_died_is_repeated_without_repeats(spark, ledger, clock):
     wal = table(spark, [(s, 1, n, "P", b"k", b"v") for s in range(4) for n in range(3)])
-    lg.plan_flush(ledger, wal, marks(spark, []))
+    assert len(lg.plan_flush(ledger, wal, marks(spark, []), item_rows=5)) == 3
     dead = ledger.lease("dead", seconds=10)
-    plan = spark.read.parquet(f"{ledger.path}/plans/*")
-    lg.fresh_records(wal, plan).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("item").parquet(ledger.output())
+    late = lg.write_items(ledger, wal, dead)
     assert ledger.done_output() is None  # written but not finished: readers see nothing
     assert lg.run_items(ledger, wal, "too early") == 0
     clock.now += 11
     assert lg.run_items(ledger, wal, "next") == len(dead)
+    everything = order((s, n) for s in range(4) for n in range(3))
+    assert rows(ledger.done_output(), "store_id", "lsn") == everything
+    lg.write_items(ledger, wal.where("false"), dead)  # a stale writer that is still busy replaces nothing that is published
     with pytest.raises(lg.StaleToken):
-        ledger.finish(dead)
-    assert rows(ledger.done_output(), "store_id", "lsn") == order((s, n) for s in range(4) for n in range(3))
+        ledger.finish(dead, late)
+    assert rows(ledger.done_output(), "store_id", "lsn") == everything
+
+
+def test_an_unfinished_ledger_gives_no_part_of_the_result(spark, ledger, clock):
+    wal = table(spark, [(s, 1, n, "P", b"k", b"v") for s in range(4) for n in range(3)])
+    lg.plan_flush(ledger, wal, marks(spark, []), item_rows=5)
+    ledger.lease("other", seconds=100, limit=1)
+    with pytest.raises(lg.Incomplete):
+        lg.take_up(wal, marks(spark, []), ledger, patience=20)
+    assert len(rows(lg.take_up(wal, marks(spark, []), ledger, patience=200))) == 12  # the lease expires
+
+
+def test_lost_output_is_an_error(spark, ledger):
+    wal = table(spark, [(1, 1, 1, "P", b"k", b"v")])
+    lg.take_up(wal, marks(spark, []), ledger)
+    done, = ledger.items().values()
+    ledger.folder.delete(done["path"])
+    with pytest.raises(lg.LostOutput):
+        ledger.done_output()
+
+
+def test_records_appended_to_the_last_planned_segment(spark, ledger):
+    first = [(1, 1, n, "P", b"k", b"v") for n in range(3)]
+    assert len(rows(lg.take_up(table(spark, first), marks(spark, []), ledger))) == 3
+    more = first + [(1, 1, n, "P", b"k", b"v") for n in range(3, 5)]
+    assert rows(lg.take_up(table(spark, more), marks(spark, []), ledger), "lsn") == [(n,) for n in range(5)]
+    assert len(ledger.items()) == 2
+
+
+def test_the_log_of_states_is_trimmed(ledger, monkeypatch):
+    monkeypatch.setattr(lg, "KEPT", 4)
+    for i in range(23):
+        ledger.add({f"{i:03d}": {"plan": "p"}})
+    assert len(ledger.items()) == 23 and len([n for n in ledger.folder.list("log") if n.endswith(".json")]) <= 9
+
+
+def test_two_planners(spark, ledger):
+    wal = table(spark, [(1, 1, 1, "P", b"k", b"v")])
+    assert ledger.add({"x": {"plan": "other"}}, {"unknown"}) == []
+    assert len(lg.plan_flush(ledger, wal, marks(spark, []))) == 1 and lg.plan_flush(ledger, wal, marks(spark, [])) == []
 
 
 def test_empty_tables(spark):
