@@ -1,10 +1,10 @@
-"""Queries of the general table-maintenance operators (p1 to p5) and their SQL."""
+"""Queries of the general table-maintenance operators (p2 to p5) and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import consolidate as merge, diff, ledger, seen
+from ..operators import consolidate as merge, diff, ledger
 from ..shared import work_dir
 from ..streaming import cdc
 
@@ -16,22 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _seen(spark: SparkSession, sf_dir: str) -> seen.Seen:
-    return seen.seen_before(table(spark, sf_dir, "incoming_entries"), table(spark, sf_dir, "sst_entries"))
-
-
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seen.found(_seen(spark, sf_dir))
-
-
-def p1_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seen.error_rates(_seen(spark, sf_dir))
-
-
-def p1_filter_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seen.filter_sizes(_seen(spark, sf_dir))
-
-
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     main, copy = table(spark, sf_dir, "run_meta"), table(spark, sf_dir, "run_meta_copy")
     return diff.differences(main, copy, key="id", order="recorded_at", fields=RUN_FIELDS).select("id", "field_name")
@@ -161,15 +145,11 @@ small AS (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_error_rates, p1_filter_sizes, p2_found, p2_values, p3_found, p3_resumed, p3_marks, p4_found, p4_table, p5_found, p5_entries, p5_runs)}
+    return {f.__name__: f for f in (p2_found, p2_values, p3_found, p3_resumed, p3_marks, p4_found, p4_table, p5_found, p5_entries, p5_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p1_found": """
-            WITH i AS (SELECT DISTINCT probe_id, key FROM incoming_entries WHERE key IS NOT NULL AND probe_id IS NOT NULL),
-            f AS (SELECT *, min(probe_id) OVER (PARTITION BY key) AS first FROM i)
-            SELECT DISTINCT probe_id FROM f WHERE probe_id > first OR key IN (SELECT key FROM sst_entries WHERE key IS NOT NULL)""",
         "p2_found": _p2_sql(RUN_FIELDS, False),
         "p2_values": _p2_sql(ALL_RUN_FIELDS, True),
         "p3_found": _P3_SQL,

@@ -28,5 +28,5 @@ def test_query_without_sql_runs(spark, data, name):
 def test_entry_point(spark, data):
     import __spark_entry__ as entry
 
-    assert {"visible_values", "p1_found", "p5_found"} <= set(entry.queries())
+    assert {"visible_values", "p2_found", "p5_found"} <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
