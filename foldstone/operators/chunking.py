@@ -14,10 +14,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 
-def _starts(sizes: np.ndarray, filled: int, target: int, before: bool) -> tuple[list[int], int]:
+def starts(sizes: np.ndarray, filled: int, target: int, before: bool) -> tuple[list[int], int]:
     """Rows at which new pieces start, and the bytes of the last piece. The first row belongs to a piece with ``filled`` bytes, or (-1) to a new one."""
     total = np.cumsum(sizes) + max(0, filled)
-    starts, begin, base = [], 0 if filled < 0 else -1, 0
+    out, begin, base = [], 0 if filled < 0 else -1, 0
     while target:
         if before:
             at = int(np.searchsorted(total, base + target, "right"))
@@ -28,9 +28,9 @@ def _starts(sizes: np.ndarray, filled: int, target: int, before: bool) -> tuple[
             at = int(np.searchsorted(total, base + target, "left")) + 1
         if at >= len(sizes):
             break
-        starts.append(at)
+        out.append(at)
         begin, base = at, int(total[at] - sizes[at])
-    return starts, int(total[-1]) - base
+    return out, int(total[-1]) - base
 
 
 def _numbered(target: int, before: bool):
@@ -51,9 +51,9 @@ def _numbered(target: int, before: bool):
             for g, high in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
                 if g != group:
                     group, piece, filled = g, 0, -1
-                starts, filled = _starts(sizes[low:high], filled, target, before)
+                cuts, filled = starts(sizes[low:high], filled, target, before)
                 marks = np.zeros(high - low, np.int32)
-                marks[starts] = 1
+                marks[cuts] = 1
                 out[low:high] = piece + np.cumsum(marks)
                 piece, low = int(out[high - 1]), high
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "piece"])

@@ -2,27 +2,33 @@
 
 Runs below their level's size are picked from the metadata. Their entries are range-partitioned by
 (group, key, run) and each range is merged in key order by Spark's external sorter, which spills
-sorted pieces and merges them k ways; nothing is folded, so repeated entries stay. Within a
-range the merged entries are rolled into runs by bytes. The new runs' key ranges, counts and sizes are
-written beside them, and they count only once the entries of every group are proven the same, by
-count and additive checksum.
+sorted pieces and merges them k ways; nothing is folded, so repeated entries stay. While the merged
+entries stream by, they are rolled into runs by bytes, one Parquet file each, under names made from range and number, so that a
+repeated task replaces its own files. Then the files are read back: only if the entries of every group are proven the same, by
+count and additive checksum, the new runs' metadata and the map from old to new runs are published, in one exclusively created file.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..shared import materialize, work_dir
+from ..shared import Folder, dump, materialize, work_dir
+from .chunking import starts
 from .diff import latest_rows
 
 #: Bytes of a run that is large enough at level 1; it doubles with each level.
 SMALL_RUN = 512
-#: Bytes at which an output run is closed, about, and bytes of one key range.
+#: Bytes at which an output run is closed, about, and bytes of one key range; a smaller group is never cut.
 TARGET_RUN, RANGE_BYTES = 64 << 20, 256 << 20
+ENTRIES = "store_id int, level int, size long, run_id long, key binary, value binary, op tinyint"
 
 
 def encoded_bytes(key: Column, value: Column, op: Column) -> Column:
@@ -44,66 +50,123 @@ def small_runs(meta: DataFrame, small_run: int = SMALL_RUN) -> DataFrame:
     return small.join(groups, F.col("store_id").eqNullSafe(F.col("g_store")) & (F.col("level") == F.col("g_level")), "left_semi")
 
 
-def _roll(target: int):
-    """Number the rows of a sorted partition by output run: a new run at each group and once ``target`` bytes are reached."""
+def _cut(target: int):
+    """Cut the batches of a sorted partition into ``(number of the run, rows)``: a new run at each group and once ``target`` bytes are reached."""
 
     def run(batches):
-        number, filled, group = -1, 0, None
+        number, filled, group = -1, -1, None
         for batch in batches:
-            rows = batch.num_rows
-            stores, levels, sizes = (batch.column(i).to_pylist() for i in (0, 1, 2))
-            out = np.empty(rows, np.int64)
-            for i in range(rows):
-                if (stores[i], levels[i]) != group or filled >= target:
-                    number, filled, group = number + 1, 0, (stores[i], levels[i])
-                filled += sizes[i]
-                out[i] = number
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "roll"])
+            ids = np.stack([batch.column(i).cast(pa.int64()).fill_null(-(2**40)).to_numpy() for i in (0, 1)])
+            sizes = batch.column(2).to_numpy()
+            borders = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1
+            for low, high in zip([0, *borders], [*borders, batch.num_rows]):
+                if low == high:
+                    continue
+                if (own := tuple(ids[:, low])) != group:
+                    group, filled = own, -1
+                    number += 1
+                cuts, filled = starts(sizes[low:high], filled, target, False)
+                for a, b in zip([0, *cuts], [*cuts, high - low]):
+                    number += a > 0 or (bool(cuts) and cuts[0] == 0 and b > a)
+                    if b > a:
+                        yield number, batch.slice(low + a, b - a)
+
+    return run
+
+
+def _write_runs(path: str, cut):
+    """Write each run of a partition as one file; gives the files with their sizes."""
+
+    def run(batches):
+        system, root = fs.FileSystem.from_uri(path)
+        system.create_dir(root, recursive=True)
+        part, now, writer, hidden = TaskContext.get().partitionId(), None, None, ""
+        done = []
+
+        def close():
+            if writer is not None:
+                writer.close()
+                name = f"run-{part:06d}-{now:06d}.parquet"
+                system.move(hidden, f"{root}/{name}")
+                done.append((name, system.get_file_info(f"{root}/{name}").size))
+
+        for number, rows in cut(batches):
+            if number != now:
+                close()
+                now, hidden = number, f"{root}/.{uuid.uuid4().hex}.tmp"
+                writer = pq.ParquetWriter(system.open_output_stream(hidden), rows.schema, compression="zstd")
+            writer.write_batch(rows)
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in done], pa.string()), pa.array([s for _, s in done], pa.int64())], ["file", "file_size"])
 
     return run
 
 
 @dataclass
 class Consolidated:
-    """inputs: ``id, store_id, level`` of the runs replaced; entries: ``new_run, store_id, level, run_id, key, value, op``; runs: the new runs' metadata."""
+    """What was published. inputs: ``id, store_id, level`` of the runs replaced; entries: ``new_run, store_id, level, run_id, key, value, op``;
+    runs: the new runs' metadata; replaced: ``id, new_run``, from old to new runs (``new_run`` is NULL for an old run without entries);
+    path: the folder of the new runs' files."""
 
     inputs: DataFrame
     entries: DataFrame
     runs: DataFrame
+    replaced: DataFrame
+    path: str
+
+    def swapped(self, meta: DataFrame) -> DataFrame:
+        """``(id, store_id, level, file_size)`` of the current runs with the old ones exchanged for the new ones."""
+        now = latest_rows(meta, "id", "recorded_at", ["store_id", "level", "file_size"]).select(F.col("k").alias("id"), F.col("f0").alias("store_id"), F.col("f1").alias("level"), F.col("f2").alias("file_size"))
+        kept = now.join(self.replaced.select("id").distinct(), "id", "left_anti")
+        return kept.unionByName(self.runs.select(F.col("new_run").alias("id"), "store_id", "level", "file_size"))
 
 
-def _checksum(df: DataFrame) -> DataFrame:
+def _checksum(df: DataFrame, by: list[str]) -> DataFrame:
     h = F.xxhash64("run_id", F.col("key").isNull(), "key", F.col("value").isNull(), "value", F.col("op").isNull(), "op")
-    return df.groupBy("store_id", "level").agg(F.count("*").alias("n"), F.sum(F.shiftrightunsigned(h, 32)).alias("a"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("b"), F.sum("size").alias("bytes"))
+    sums = [F.count("*").alias("n"), F.sum(F.shiftrightunsigned(h, 32)).alias("a"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("b"), F.sum("size").alias("bytes")]
+    return df.groupBy(*by).agg(*sums, F.min("key").alias("min_key"), F.max("key").alias("max_key"))
 
 
 def consolidate(meta: DataFrame, entries: DataFrame, small_run: int = SMALL_RUN, target_run: int = TARGET_RUN, range_bytes: int = RANGE_BYTES) -> Consolidated:
-    """Merge the small runs of each (store, level); raises if an entry would be lost, doubled or changed.
+    """Merge the small runs of each (store, level) and publish the new ones; raises if an entry would be lost, doubled or changed.
 
     Picked runs without entries are replaced by nothing. Entries of other runs aren't touched. NULL keys,
-    values and operations are carried along as they are. Empty tables give empty results.
+    values and operations are carried along as they are. Empty tables give empty results. A group of less than ``range_bytes``
+    stays in one range and so becomes runs of full size and one last run. New ids follow the greatest id of the metadata.
     """
+    spark = entries.sparkSession
     inputs = materialize(small_runs(meta, small_run).select("id", "store_id", "level"), "consolidate-inputs")
     size = F.coalesce(encoded_bytes(F.col("key"), F.col("value"), F.col("op")), F.lit(5))
     picked = entries.select("run_id", "key", "value", "op").join(inputs, F.col("run_id") == F.col("id")).select("store_id", "level", size.alias("size"), "run_id", "key", "value", "op")
-    before = materialize(_checksum(picked), "consolidate-before")
-    total = before.agg(F.sum("bytes")).first()[0] or 0
-    ranges = max(1, -(-total // range_bytes))
-    order = ["store_id", "level", "key", "run_id"]
-    merged = picked.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-    rolled = merged.mapInArrow(_roll(target_run), "store_id int, level int, size long, run_id long, key binary, value binary, op tinyint, roll long")
-    path = work_dir(entries.sparkSession, "consolidate-entries")
-    rolled.withColumn("part", F.spark_partition_id()).write.parquet(path)
-    out = entries.sparkSession.read.schema("store_id int, level int, size long, run_id long, key binary, value binary, op tinyint, roll long, part int").parquet(path)
-
-    after = _checksum(out)
-    if wrong := before.exceptAll(after).union(after.exceptAll(before)).take(5):
+    group = ["store_id", "level"]
+    before = materialize(_checksum(picked, group), "consolidate-before")
+    total, widest = before.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("bytes"), F.lit(0))).first()
+    ranges = max(-(-total // range_bytes), min(spark.sparkContext.defaultParallelism, -(-total // (1 << 20))), 1)
+    order, border = [*group, "key", "run_id"], [F.col(c) for c in group]
+    if widest > range_bytes:  # only large groups are cut, at keys
+        large = before.where(F.col("bytes") > range_bytes).select(F.col("store_id").alias("_s"), F.col("level").alias("_l"), F.lit(True).alias("large"))
+        picked = picked.join(large, F.col("store_id").eqNullSafe(F.col("_s")) & (F.col("level") == F.col("_l")), "left")
+        border += [F.when(F.col("large"), F.col("key")), F.when(F.col("large"), F.col("run_id"))]
+    merged = picked.repartitionByRange(ranges, *border).sortWithinPartitions(*order).select("store_id", "level", "size", "run_id", "key", "value", "op")
+    base = work_dir(spark, "consolidate")
+    files = materialize(merged.mapInArrow(_write_runs(f"{base}/runs", _cut(target_run)), "file string, file_size long"), "consolidate-files")
+
+    out = spark.createDataFrame([], ENTRIES).withColumn("file", F.lit(""))
+    if not files.isEmpty():
+        out = spark.read.schema(ENTRIES).parquet(f"{base}/runs").withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    held = materialize(_checksum(out, ["file", *group, "run_id"]), "consolidate-held")
+    after = held.groupBy(*group).agg(*(F.sum(c).alias(c) for c in ("n", "a", "b", "bytes")))
+    proof = before.select(*group, "n", "a", "b", "bytes")
+    if wrong := proof.exceptAll(after).union(after.exceptAll(proof)).take(5):
         raise RuntimeError(f"entries changed in {wrong}")
-    first = F.min(F.struct("key", "run_id"))
-    runs = out.groupBy("part", "roll", "store_id", "level").agg(
-        F.xxhash64(F.first("store_id"), F.first("level"), first["key"], first["run_id"]).alias("new_run"),
-        F.count("*").alias("record_count"), F.sum("size").alias("data_length"), F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.countDistinct("run_id").alias("inputs"),
-    )
-    runs = materialize(runs, "consolidate-runs")
-    named = out.join(runs.select("part", "roll", "new_run"), ["part", "roll"]).select("new_run", "store_id", "level", "run_id", "key", "value", "op")
-    return Consolidated(inputs, named, runs.drop("part", "roll"))
+    top = meta.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    runs = held.groupBy("file", *group).agg(F.sum("n").alias("record_count"), F.sum("bytes").alias("data_length"), F.min("min_key").alias("min_key"), F.max("max_key").alias("max_key"), F.count("*").alias("inputs"))
+    # as many rows as new files
+    numbered = runs.join(files, "file").withColumn("new_run", F.row_number().over(Window.orderBy("file")) + F.lit(top).cast("long"))
+    numbered.select("new_run", *group, "file", "file_size", "record_count", "data_length", "min_key", "max_key", "inputs").write.parquet(f"{base}/meta")
+    runs = spark.read.schema("new_run long, store_id int, level int, file string, file_size long, record_count long, data_length long, min_key binary, max_key binary, inputs long").parquet(f"{base}/meta")
+    named = held.select("file", F.col("run_id").alias("id")).join(runs.select("file", "new_run"), "file").select("id", "new_run")
+    inputs.select("id").join(named, "id", "left").write.parquet(f"{base}/replaced")
+    Folder(spark, base).create("published.json", dump({"runs": "runs", "meta": "meta", "replaced": "replaced"}))
+    replaced = spark.read.schema("id long, new_run long").parquet(f"{base}/replaced")
+    return Consolidated(inputs, out.join(runs.select("file", "new_run"), "file").select("new_run", *group, "run_id", "key", "value", "op"), runs, replaced, f"{base}/runs")

@@ -71,15 +71,36 @@ def test_empty_tables(spark):
 
 
 def test_a_changed_entry_is_refused(spark, monkeypatch):
-    roll = cs._roll
+    cut = cs._cut
 
     def lossy(target):
+        whole = cut(target)
+
         def run(batches):
-            for batch in roll(target)(batches):
-                yield batch.slice(1)
+            for number, rows in whole(batches):
+                yield number, rows.slice(1)
 
         return run
 
-    monkeypatch.setattr(cs, "_roll", lossy)
+    monkeypatch.setattr(cs, "_cut", lossy)
     with pytest.raises(RuntimeError):
         cs.consolidate(meta(spark, [(1, 1, 0, 10, 1), (2, 1, 0, 10, 1)]), entries(spark, [(1, b"a", b"b", 1), (2, b"a", b"b", 1)]))
+
+
+def test_one_sorted_file_a_run_and_the_exchange(spark):
+    rng = random.Random(9)
+    runs = [(i, i % 3, i % 2, 100, 1) for i in range(18)] + [(99, 0, 0, 100, 1), (50, 1, 1, 90_000, 1)]
+    data = [(rng.randrange(18), b"%03d" % rng.randrange(300), b"v" * rng.randrange(40), 1) for _ in range(600)]
+    got = cs.consolidate(meta(spark, runs), entries(spark, data), target_run=700)
+    new = {r.file: r for r in got.runs.collect()}
+    assert got.entries.sparkSession.read.parquet(got.path).count() == 600 and len(new) > 12
+    for r in spark.read.parquet(got.path).select(F.input_file_name().alias("f")).distinct().collect():
+        name = r.f.rpartition("/")[2]
+        held = spark.read.parquet(f"{got.path}/{name}").collect()
+        assert [(bytes(x.key), x.run_id) for x in held] == sorted((bytes(x.key), x.run_id) for x in held)
+        assert (len(held), bytes(held[0].key), bytes(held[-1].key)) == (new[name].record_count, bytes(new[name].min_key), bytes(new[name].max_key)) and new[name].file_size > 0
+        del new[name]
+    assert not new
+    assert (99, None) in rows(got.replaced, "id", "new_run") and rows(got.replaced.select("id").distinct()) == order((i,) for i in [*range(18), 99])
+    left = rows(got.swapped(meta(spark, runs)), "id")
+    assert (50,) in left and len(left) == 1 + got.runs.count() and min(left)[0] == 50
