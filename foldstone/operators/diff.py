@@ -2,8 +2,9 @@
 
 Both copies are folded to one row per key and hashed into key buckets. For each bucket and column
 a wide checksum (four sums of 32-bit halves of two 64-bit hashes over key and value) is added up;
-sums don't depend on the order of rows, and are partly added before the shuffle. Only the buckets
-whose checksums differ are read again, and in them only columns that differ somewhere are joined.
+sums don't depend on the order of rows. A bucket has a few rows, whatever the size of the table, so a small share of
+differing rows leaves most buckets equal. Only unequal buckets are read again, and in each of them only the columns
+whose checksum differs there are folded and joined.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..shared import materialize
 
-#: Rows of a bucket, about, and most buckets. The list of unequal buckets is broadcast: at most MAX_BUCKETS rows of 12 bytes.
-BUCKET_ROWS, MAX_BUCKETS = 64, 1 << 18
+#: Rows of a bucket, about. The matrix then has about as many bytes as a narrow table, and with one differing row in a hundred 92 % of the buckets are equal.
+BUCKET_ROWS = 8
 
 
 def latest_rows(df: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
@@ -37,11 +38,12 @@ def _sums(i: int | None) -> list[Column]:
 def checksum_matrix(df: DataFrame, fields: list[str], buckets: int) -> DataFrame:
     """``(bucket, c_keys, c0, c1, ...)``: a checksum of each bucket's keys and of each field's cells."""
     cols = [("c_keys", None), *((f"c{i}", i) for i in range(len(fields)))]
-    return df.groupBy(_bucket(buckets).alias("bucket")).agg(*(F.array(*_sums(i)).alias(name) for name, i in cols))
+    # a bucket's few rows lie anywhere, so the rows are exchanged, which are smaller than their sums; the join of two matrices needs no other exchange
+    return df.withColumn("bucket", _bucket(buckets)).repartition("bucket").groupBy("bucket").agg(*(F.array(*_sums(i)).alias(name) for name, i in cols))
 
 
 def _bucket(buckets: int) -> Column:
-    return F.pmod(F.xxhash64("k"), F.lit(buckets)).cast("int")
+    return F.pmod(F.xxhash64("k"), F.lit(buckets).cast("long"))
 
 
 def unequal_cells(main: DataFrame, copy: DataFrame, fields: list[str], buckets: int) -> DataFrame:
@@ -53,15 +55,24 @@ def unequal_cells(main: DataFrame, copy: DataFrame, fields: list[str], buckets:
     return both.select("bucket", reduce(lambda x, y: x.bitwiseOR(y), bits).alias("mask")).where("mask <> 0")
 
 
+def pruned(main: DataFrame, copy: DataFrame, *, key: str, order: str, fields: list[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``(field_name, buckets, unequal)``: of all buckets, those whose checksum of the keys (``_keys``) or of a field differs."""
+    buckets = max(1, max(main.count(), copy.count()) // bucket_rows)
+    cells = unequal_cells(latest_rows(main, key, order, fields), latest_rows(copy, key, order, fields), fields, buckets)
+    counts = cells.agg(*(F.count_if(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0).alias(f"n{i}") for i in range(len(fields) + 1)))
+    rows = [F.struct(F.lit(c).alias("field_name"), F.lit(buckets).cast("long").alias("buckets"), F.col(f"n{i}").alias("unequal")) for i, c in enumerate(["_keys", *fields])]
+    return counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def differences(main: DataFrame, copy: DataFrame, *, key: str, order: str, fields: list[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``(key, field_name, main_value, copy_value)``: one row per differing field of keys on both sides, with the
     values as text (binary as hex), and one with ``missing_in_copy`` or ``missing_in_main`` per key on one side.
 
     NULL equals only NULL. Rows with a NULL key are left out. Superseded and repeated rows don't
-    count. Empty tables are legal. Only ``key``, ``order`` and ``fields`` are read; of the
-    second reading, only fields that some bucket differs in.
+    count. Empty tables are legal. Only ``key``, ``order`` and ``fields`` are read; the
+    second time, only fields that some bucket differs in, and of a row only those that its own bucket differs in.
     """
-    buckets = max(1, min(MAX_BUCKETS, max(main.count(), copy.count()) // bucket_rows))
+    buckets = max(1, max(main.count(), copy.count()) // bucket_rows)
     one, two = latest_rows(main, key, order, fields), latest_rows(copy, key, order, fields)
     cells = materialize(unequal_cells(one, two, fields, buckets), "diff-cells")
     mask = cells.agg(F.bit_or("mask")).first()[0] or 0
@@ -69,11 +80,12 @@ def differences(main: DataFrame, copy: DataFrame, *, key: str, order: str, field
 
     def suspect(df: DataFrame) -> DataFrame:
         # the key's bucket alone decides, so rows are dropped before they are folded again
-        keyed = df.withColumn("_k", F.col(key)).withColumn("_bucket", F.pmod(F.xxhash64("_k"), F.lit(buckets)).cast("int"))
-        near = keyed.join(F.broadcast(cells.select(F.col("bucket").alias("_bucket"))), "_bucket", "left_semi")
-        return latest_rows(near, "_k", order, wanted).withColumn("here", F.lit(True))
+        keyed = df.select(F.col(key).alias("k"), F.col(order).alias("o"), *(F.col(c).alias(f"w{i}") for i, c in enumerate(wanted))).withColumn("bucket", _bucket(buckets))
+        near = keyed.join(cells, "bucket")
+        own = [F.when(F.col("mask").bitwiseAND(F.lit(2 << fields.index(c))) != 0, F.col(f"w{i}")).alias(f"w{i}") for i, c in enumerate(wanted)]
+        return latest_rows(near.select("k", "o", *own), "k", "o", [f"w{i}" for i in range(len(wanted))]).withColumn("here", F.lit(True))
 
-    a, b = suspect(main.select(key, order, *wanted)).alias("a"), suspect(copy.select(key, order, *wanted)).alias("b")
+    a, b = suspect(main).alias("a"), suspect(copy).alias("b")
     text = lambda c, kind: F.hex(c) if kind == "binary" else c.cast("string")
     none = F.lit(None).cast("string")
     cases = [

@@ -55,3 +55,12 @@ def test_only_unequal_buckets_are_marked(spark):
     copy = main.selectExpr("k", "f0", "if(k = 17, 0, f1) as f1")
     cells = diff.unequal_cells(main, copy, ["f0", "f1"], 50).collect()
     assert len(cells) == 1 and cells[0].mask == 4
+
+
+def test_few_differences_leave_most_buckets_equal(spark):
+    main = [(i, 1, i, b"x", 0, 0, None) for i in range(1600)]
+    copy = [(*r[:2], -1, *r[3:]) if r[0] % 100 == 0 else r for r in main]
+    make = lambda t: spark.createDataFrame([(r[0], r[1], r[2], b(r[3]), *r[4:]) for r in t], SCHEMA)
+    got = {r.field_name: (r.buckets, r.unequal) for r in diff.pruned(make(main), make(copy), key="id", order="at", fields=FIELDS).collect()}
+    assert got["_keys"] == got["k"] == got["mask"] == (200, 0) and 10 <= got["a"][1] <= 16
+    assert rows(compare(spark, main, copy), "id", "field_name") == order((i, "a") for i in range(0, 1600, 100))
