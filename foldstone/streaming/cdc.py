@@ -19,6 +19,8 @@ from ..shared import Folder, work_dir
 
 #: LSNs of one chunk; markers are looked up within chunks, and chunks among each other.
 CHUNK = 16384
+#: Bytes of the feed that a micro-batch takes for each core of the cluster.
+CORE_BYTES = 4 << 20
 KEYS = ["feed", "store_id", "key"]
 CHANGES = "feed string, store_id int, key binary, seq long, live boolean, value binary"
 
@@ -96,23 +98,48 @@ def apply_changes(stream: DataFrame, out: str, checkpoint: str) -> None:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def _parts(spark: SparkSession, out: str) -> tuple[int, list[str]]:
+    """The last batch that is merged (-1: none), and the folders that hold the table: what was merged, and each batch since."""
+    folder = Folder(spark, out)
+    merged = max((int(n[7:-5]) for n in folder.list() if n.startswith("merged-") and n.endswith(".json")), default=-1)
+    since = sorted(int(n[6:]) for n in folder.list() if n.startswith("batch="))
+    return merged, [*([f"merged-{merged}"] if merged >= 0 else []), *(f"batch={n}" for n in since if n > merged)]
+
+
 def current_table(spark: SparkSession, out: str) -> DataFrame:
-    """``(feed, store_id, key, seq, live, value)`` of each key's newest version, tombstones among them."""
-    rows = spark.read.schema(f"{CHANGES}, batch long").parquet(out)
+    """``(feed, store_id, key, seq, live, value)`` of each key's newest version, tombstones among them. A folder without batches is an empty table."""
+    parts = _parts(spark, out)[1]
+    rows = spark.read.schema(CHANGES).parquet(*(f"{out}/{p}" for p in parts)) if parts else spark.createDataFrame([], CHANGES)
     newest = F.max(F.struct("seq", "live", "value")).alias("s")
     return rows.groupBy(*KEYS).agg(newest).select(*KEYS, "s.seq", "s.live", "s.value")
 
 
-def rebuild(changes: DataFrame, batches: int = 3) -> DataFrame:
-    """Feed ``changes`` through the stream in about so many micro-batches; returns the current table.
+def merge_batches(spark: SparkSession, out: str) -> int:
+    """Fold the batches so far into one folder, so that reading doesn't get slower with each batch; returns the last batch in it.
+
+    Meant for times when no batch is being repeated (after ``apply_changes`` has returned). The folder counts once its marker is there; what it
+    replaces is deleted afterwards, and a merge that died in between is repeated under the same name.
+    """
+    merged, parts = _parts(spark, out)
+    last = max((int(p[6:]) for p in parts if p.startswith("batch=")), default=merged)
+    if last > merged:
+        current_table(spark, out).write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/merged-{last}")
+        folder = Folder(spark, out)
+        folder.create(f"merged-{last}.json", "{}")
+        for p in parts:
+            folder.delete(p)
+    return last
+
+
+def rebuild(changes: DataFrame, batch_bytes: int | None = None) -> DataFrame:
+    """Feed ``changes`` through the stream in micro-batches of about ``batch_bytes`` (by default ``CORE_BYTES`` a core); returns the current table.
 
     Of two changes with one number the put wins, then the greater value. Empty feeds give no rows.
     """
     spark = changes.sparkSession
     base = work_dir(spark, "cdc")
     changes.write.option("compression", "zstd").parquet(f"{base}/feed")
-    files = sum(name.endswith(".parquet") for name in Folder(spark, base).list("feed"))
-    stream = spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(f"{base}/feed")
-    spark.createDataFrame([], f"{CHANGES}").write.mode("overwrite").parquet(f"{base}/table/batch=-1")
+    size = batch_bytes or CORE_BYTES * spark.sparkContext.defaultParallelism
+    stream = spark.readStream.schema(CHANGES).option("maxBytesPerTrigger", size).parquet(f"{base}/feed")
     apply_changes(stream, f"{base}/table", f"{base}/checkpoint")
     return current_table(spark, f"{base}/table")
