@@ -30,6 +30,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.take_up(table(spark, sf_dir, "wal_records"), table(spark, sf_dir, "manifest_log"), work_dir(spark, "ledger"))
 
 
+def p2_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many cells of the checksum matrix are unequal, by column; what isn't is never read again."""
+    main, copy = table(spark, sf_dir, "run_meta"), table(spark, sf_dir, "run_meta_copy")
+    return diff.pruned(main, copy, key="id", order="recorded_at", fields=RUN_FIELDS)
+
+
 class _Hand:
     """A clock that is set by hand."""
 
@@ -76,7 +82,8 @@ def _consolidated(spark: SparkSession, sf_dir: str) -> merge.Consolidated:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _consolidated(spark, sf_dir).inputs.select("id")
+    """The old runs of the published map from old to new runs."""
+    return _consolidated(spark, sf_dir).replaced.select("id").distinct()
 
 
 def p5_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +94,13 @@ def p5_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The new runs with their updated ranges."""
-    return _consolidated(spark, sf_dir).runs.select("new_run", "store_id", "level", "record_count", "data_length", F.hex("min_key").alias("min_key_hex"), F.hex("max_key").alias("max_key_hex"), "inputs")
+    return _consolidated(spark, sf_dir).runs.select("store_id", "level", "record_count", "data_length", F.hex("min_key").alias("min_key_hex"), F.hex("max_key").alias("max_key_hex"), "inputs")
+
+
+def p5_swapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many runs each (store, level) has after the exchange."""
+    rows = _consolidated(spark, sf_dir).swapped(table(spark, sf_dir, "run_meta"))
+    return rows.groupBy("store_id", "level").agg(F.count("*").alias("runs"))
 
 
 _P2_CURRENT = """
@@ -145,7 +158,7 @@ small AS (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_values, p3_found, p3_resumed, p3_marks, p4_found, p4_table, p5_found, p5_entries, p5_runs)}
+    return {f.__name__: f for f in (p2_found, p2_values, p2_buckets, p3_found, p3_resumed, p3_marks, p4_found, p4_table, p5_found, p5_entries, p5_runs, p5_swapped)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -160,6 +173,16 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": _P4_STATE + "SELECT feed, store_id, upper(hex(key)) AS key_hex, seq AS version_no FROM newest WHERE live",
         "p4_table": _P4_STATE + "SELECT feed, store_id, upper(hex(key)) AS key_hex, seq AS version_no, live, upper(hex(value)) AS value_hex FROM newest",
         "p5_found": _P5_SMALL + "SELECT id FROM small WHERE members > 1",
+        "p5_runs": _P5_SMALL
+        + """, e AS (SELECT s.store_id, s.level, run_id, key, coalesce(5 + octet_length(key) + CASE WHEN op = 1 THEN 4 + coalesce(octet_length(value), 0) ELSE 0 END, 5) AS size
+                     FROM sst_entries JOIN small s ON run_id = s.id WHERE members > 1)
+            SELECT store_id, level, count(*) AS record_count, CAST(sum(size) AS BIGINT) AS data_length, upper(hex(min(key))) AS min_key_hex, upper(hex(max(key))) AS max_key_hex,
+                   count(DISTINCT run_id) AS inputs FROM e GROUP BY store_id, level""",
+        "p5_swapped": _P5_SMALL
+        + """, gone AS (SELECT id, store_id, level FROM small WHERE members > 1), made AS (SELECT DISTINCT g.store_id, g.level FROM gone g JOIN sst_entries ON run_id = g.id)
+            SELECT store_id, level, CAST(sum(n) AS BIGINT) AS runs FROM (
+              SELECT store_id, level, count(*) AS n FROM cur WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM gone) GROUP BY store_id, level
+              UNION ALL SELECT store_id, level, 1 FROM made) GROUP BY store_id, level""",
         "p5_entries": _P5_SMALL
         + """, e AS (SELECT s.store_id, s.level, run_id, key, count(*) AS n FROM sst_entries JOIN small s ON run_id = s.id WHERE members > 1 GROUP BY ALL)
             SELECT store_id, level, CAST(sum(n) AS BIGINT) AS entries, max(n) AS most_repeated, upper(hex(min(key))) AS min_key_hex, upper(hex(max(key))) AS max_key_hex FROM e GROUP BY store_id, level""",
