@@ -19,8 +19,8 @@ import regex
 #: Fixed value: the pattern that splits a text before the merges (the rule of the vocabulary).
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: States and remembered words per worker; beyond these the tables start anew, results don't change.
-MAX_STATES, MAX_WORDS = 400_000, 400_000
+#: States and letters of remembered words per worker; beyond these the tables start anew, results don't change. Longer words than LONG aren't remembered.
+MAX_STATES, MAX_LETTERS, LONG = 400_000, 4_000_000, 64
 
 
 def printable_bytes() -> dict[str, int]:
@@ -35,10 +35,13 @@ class Words(dict):
 
     def __init__(self, run):
         super().__init__()
-        self.run = run
+        self.run, self.letters = run, 0
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        got = self[word] = self.run(word.encode())
+        got = self.run(word.encode())
+        if len(word) <= LONG:
+            self[word] = got
+            self.letters += len(word)
         return got
 
 
@@ -166,7 +169,7 @@ class Transducer:
     def encode_into(self, text: str, out: list[int]) -> None:
         """Append the ids of ``text``; the special token's string is ordinary text."""
         out.extend(chain.from_iterable(map(self.words.__getitem__, self._split(text))))
-        if len(self.words) > MAX_WORDS or len(self.states) > MAX_STATES:
+        if self.words.letters > MAX_LETTERS or len(self.states) > MAX_STATES:
             self._reset()
 
     def encode(self, text: str | None) -> list[int]:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .print_text import fold, fragments, words
+from .print_text import fold, fold_fragments, folded_ends, spaced, words
 
 GRAM, BLOCK = 9, 16
 #: BM25's usual parameters.
@@ -35,6 +35,22 @@ ITEMS = 250
 RUN = 15
 
 
+#: Multiplier of the hashes of terms; any odd number does.
+ODD = 0x9E3779B97F4A7C15
+
+
+def _hashes(folded: str) -> np.ndarray:
+    """A hash of each run of GRAM letters, mixed best in its upper bits."""
+    letters = np.frombuffer(folded.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    n = max(0, len(letters) - GRAM + 1)
+    h = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(GRAM):
+            h = (h ^ letters[i : i + n]) * np.uint64(ODD)
+            h ^= h >> np.uint64(29)
+    return h * np.uint64(ODD)
+
+
 class Index:
     """The inverted index. ``items``: (ordinal passage text); texts that fold to nothing are never found."""
 
@@ -61,6 +77,11 @@ class Index:
                 first.setdefault(k // BLOCK, i)
             self.post[term] = items, impacts, best, first
         self.terms = self.post.keys()
+        #: which hashes some term has, for passing over most letters of a page without making their terms
+        self.shift = np.uint64(64 - max(12, (16 * len(self.post)).bit_length()))
+        self.hashed = np.zeros(1 << (64 - int(self.shift)), bool)
+        for f in self.folded:
+            self.hashed[_hashes(f) >> self.shift] = True
         self.blocks = -(-max(1, len(passages)) // BLOCK)
 
     def weakest_run(self, k: int, ends: list[int], run: int) -> float:
@@ -76,7 +97,8 @@ class Index:
 
     def search(self, folded: str, threshold: float | list[float] = THRESHOLD) -> list[tuple[int, float]]:
         """All (item, score) with a score of at least ``threshold``, which may be given for each item."""
-        terms = {folded[j : j + GRAM] for j in range(len(folded) - GRAM + 1)} & self.terms
+        near = np.flatnonzero(self.hashed[_hashes(folded) >> self.shift])
+        terms = {folded[j : j + GRAM] for j in near.tolist()} & self.terms
         if not terms:
             return []
         lists = [self.post[t] for t in terms]
@@ -267,11 +289,8 @@ def seeds_of(item: str) -> dict[str, list[int]]:
 
 
 def word_ends(passage: str, folded: str) -> list[int]:
-    """End of each word of ``passage`` among its folded letters, by folding ever longer beginnings."""
-    ends, text = [], ""
-    for w in words(passage):
-        text += w
-        ends.append(len(fold(text)))
+    """End of each word of ``passage`` among its folded letters."""
+    ends = folded_ends(words(passage))
     if ends:
         ends[-1] = len(folded)
     return ends
@@ -308,8 +327,8 @@ class Searcher:
 
     def page(self, text: str, run: int, threshold: float):
         """(item id, words printed, words of the passage, score, share of the question's words on the page, whether its answer is there)."""
-        pieces = [fold(f) for f in fragments(text)]
-        page, folded = None, None
+        pieces = fold_fragments(text)
+        page, printed = None, None
         for k, score in self.index.search("".join(pieces), self.thresholds(run, threshold)):
             page = page or Page(pieces)
             stretch = longest_print(page, self.index.folded[k], self.seeds[k])
@@ -317,27 +336,27 @@ class Searcher:
                 n = words_in(stretch, ends)
                 if n < run:
                     continue
-                folded = fold(text) if folded is None else folded
+                printed = spaced(text) if printed is None else printed
                 for item_id, question, answer in self.owners[k][passage]:
-                    asked = [fold(w) for w in words(question or "")]
-                    share = sum(w in folded for w in asked) / len(asked) if asked else None
-                    yield item_id, n, len(ends), score, share, (fold(answer) in folded if answer and fold(answer) else None)
+                    asked, told = spaced(question or "").split(), spaced(answer or "")
+                    share = sum(f" {w} " in printed for w in asked) / len(asked) if asked else None
+                    yield item_id, n, len(ends), score, share, (told in printed if told.strip() else None)
 
 
 _LOADED: dict[int, Searcher] = {}
 
 
 def _searcher(items: tuple) -> Searcher:
+    """The index of a block, made once per Python worker while there is one block; of several one is held at a time."""
     key = hash(items)
     if key not in _LOADED:
-        if len(_LOADED) > 4:
-            _LOADED.clear()
+        _LOADED.clear()
         _LOADED[key] = Searcher(list(items))
     return _LOADED[key]
 
 
-#: Letters of passages in one index. The index is sent to every worker, so a larger test set is searched in blocks of this size.
-INDEX_LETTERS = 2_000_000
+#: Letters of passages in one index, which takes some 500 bytes a letter in each worker; a larger test set is searched in blocks of this size.
+INDEX_LETTERS = 500_000
 
 LEAK_SCHEMA = "id {id}, item_id string, words int, passage_words int, score double, question_share double, answer_printed boolean"
 
@@ -349,8 +368,9 @@ def leaked_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
     ``items`` needs ``item_id, passage, question, answer``. NULL and blank passages and passages shorter than
     ``run`` words are never found; items with the same passage are all reported; NULL, empty and blank texts report
     none. ``question_share`` is the share of the question's words on the page and ``answer_printed``
-    whether the answer stands there; both are NULL where the item has none. Repeated
-    rows of a page give one row. The corpus is read once per block of items and isn't shuffled but for the result.
+    whether the answer stands there, by whole words; both are NULL where the item has none. Repeated
+    rows of a page give one row. The corpus is read once, whatever the number of items, and isn't shuffled but for the result; each
+    batch of pages is searched for block after block of items.
     """
     spark = docs.sparkSession
     rows = items.where("item_id is not null and passage is not null").select("item_id", "passage", "question", "answer").distinct().orderBy("item_id", "question", "answer")
@@ -366,25 +386,24 @@ def leaked_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
     if block or not blocks:
         blocks.append(tuple(block))
     kind = docs.schema[id_col].dataType.simpleString()
-    out = None
-    for b in blocks:
-        found = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_search(spark.sparkContext.broadcast(b), run, threshold), LEAK_SCHEMA.format(id=kind))
-        out = found if out is None else out.unionByName(found)
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    out = texts.mapInArrow(_search([spark.sparkContext.broadcast(b) for b in blocks], run, threshold), LEAK_SCHEMA.format(id=kind))
     return out.dropDuplicates(["id", "item_id"]).withColumnRenamed("id", id_col)
 
 
-def _search(items, run: int, threshold: float):
+def _search(blocks: list, run: int, threshold: float):
     names = ["item_id", "words", "passage_words", "score", "question_share", "answer_printed"]
     types = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.bool_()]
 
     def search(batches):
-        searcher = _searcher(items.value)
         for batch in batches:
             at, rows = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                for row in searcher.page(text, run, threshold):
-                    at.append(i)
-                    rows.append(row)
+            for items in blocks:
+                searcher = _searcher(items.value)
+                for i, text in enumerate(batch.column(1).to_pylist()):
+                    for row in searcher.page(text, run, threshold):
+                        at.append(i)
+                        rows.append(row)
             cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *cols], ["id", *names])
 

@@ -50,7 +50,7 @@ def test_transducer_equals_the_merges(own):
 def test_state_tables_may_be_dropped_at_any_time(own, monkeypatch):
     text = "the quick brown fox jumps over the lazy dog and dogs"
     before = own.encode(text)
-    monkeypatch.setattr(bpe, "MAX_WORDS", 1)
+    monkeypatch.setattr(bpe, "MAX_LETTERS", 1)
     assert own.encode(text) == before == own.encode(text)
 
 

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from foldstone.llm import leaks
-from foldstone.llm.print_text import fold, fold_words, fragments
+from foldstone.llm.print_text import fold, fold_fragments, fold_words, fragments
 from tables import rows
 
 ITEMS = "item_id string, passage string, question string, answer string, suite string"
@@ -142,3 +142,57 @@ def test_long_passages_and_copies_are_found(spark, passages):
     pages = [" ".join(long.split()[300:316]), " ".join(at[4:20]), " ".join(passages[2].split()[3:19])]
     got = rows(find(spark, pages, items + with_copies), "doc_id", "item_id")
     assert got == sorted([(0, "long"), *((1, x[0]) for x in with_copies), (2, "i2")])
+
+
+def test_fragments_fold_as_one_by_one():
+    text = "The  fcver   was\r\nvva_rn \n \n ſtroke\u2028l1ne\x0bSHIP-\nping   \t  rn\n\nnn"
+    assert fold_fragments(text) == [f for f in map(fold, fragments(text)) if f] and fold_fragments("") == []
+
+
+def test_word_ends_in_long_passages():
+    rng = random.Random(3)
+    for text in ("corn never vvas", " ".join("".join(rng.choices("nruvcl'aem", k=rng.randrange(1, 7))) for _ in range(400))):
+        ends, whole = leaks.word_ends(text, fold(text)), ""
+        for e, w in zip(ends, leaks.words(text)):
+            whole += w
+            assert abs(e - len(fold(whole))) <= 1
+        assert ends == sorted(ends) and ends[-1] == len(fold(text))
+
+
+def test_answers_are_whole_words(spark, passages):
+    items = [("a", passages[0], "noon", "noon", "s")]
+    for text, expected in (("in the afternoon", False), ("at noon.", True), ("at no-\non", True)):
+        got, = find(spark, [passages[0] + "\n" + text], items).collect()
+        assert (got.question_share, got.answer_printed) == (float(expected), expected)
+
+
+def test_blocks_of_items_give_the_same(spark, passages):
+    items = [(f"i{k}", x, None, None, "s") for k, x in enumerate(passages)]
+    pages = ["\n".join(lines(p)) for p in passages[::7]] + ["\n".join(lines(passages[3] + passages[40]))]
+    whole = rows(find(spark, pages, items), "doc_id", "item_id", "words")
+    assert rows(find(spark, pages, items, index_letters=2000), "doc_id", "item_id", "words") == whole and len(whole) == 11
+
+
+def test_recall_of_sixteen_words(spark, passages):
+    """Held-out plants: 16 words, line breaks and misread letters, of passages of 20 to 3,000 words; and of a run that 40 % of the items share."""
+    rng = random.Random(12)
+    long = [" ".join(sentence(rng) for _ in range(n)) for n in (2, 2, 3, 20, 20, 60, 60, 300)]
+    shared = " ".join(sentence(rng) for _ in range(2))
+    base = [*passages, *long]
+    items = [(f"i{k}", x, None, None, "s") for k, x in enumerate(base)] + [(f"s{k}", f"{sentence(rng)} {shared} {sentence(rng)}", None, None, "s") for k in range(45)]
+    pages, meant = [], []
+    for _ in range(100):
+        k = rng.randrange(len(passages), len(base)) if rng.random() < 0.7 else rng.randrange(len(passages))
+        w = base[k].split()
+        at = rng.randrange(len(w) - 15)
+        pages.append("\n".join(lines(f"{sentence(rng)} {misread(' '.join(w[at : at + 16]), rng, 0.02)} {sentence(rng)}")))
+        meant.append({f"i{k}"})
+    at = shared.split()[:16]
+    for _ in range(10):
+        pages.append("\n".join(lines(f"{sentence(rng)} {' '.join(at)} {sentence(rng)}")))
+        meant.append({x[0] for x in items if x[0][0] == "s"} if len(at) == 16 else set())
+    got = {}
+    for r in find(spark, pages, items).collect():
+        got.setdefault(r.doc_id, set()).add(r.item_id)
+    hit = sum(len(got.get(i, set()) & m) for i, m in enumerate(meant))
+    assert hit >= 0.95 * sum(map(len, meant)) and sum(len(got.get(i, set()) - m) for i, m in enumerate(meant)) <= 2
