@@ -4,8 +4,8 @@ Runs below their level's size are picked from the metadata. Their entries are ra
 (group, key, run) and each range is merged in key order by Spark's external sorter, which spills
 sorted pieces and merges them k ways; nothing is folded, so repeated entries stay. While the merged
 entries stream by, they are rolled into runs by bytes, one Parquet file each, under names made from range and number, so that a
-repeated task replaces its own files. Then the files are read back: only if the entries of every group are proven the same, by
-count and additive checksum, the new runs' metadata and the map from old to new runs are published, in one exclusively created file.
+repeated task replaces its own files. Each file is read back and compared by the task that wrote it. Only if the entries of every group are proven the
+same, by count and additive checksum over all files, the new runs' metadata and the map from old to new runs are published, in one exclusively created file.
 """
 
 from __future__ import annotations
@@ -75,29 +75,46 @@ def _cut(target: int):
 
 
 def _write_runs(path: str, cut):
-    """Write each run of a partition as one file; gives the files with their sizes."""
+    """Write each run of a partition as one file, read it back and compare it; gives the counts and checksums of each file's entries by their old run.
+
+    A run is held in memory, which is about ``TARGET_RUN`` bytes. The last column of the rows is their hash and isn't written.
+    """
 
     def run(batches):
         system, root = fs.FileSystem.from_uri(path)
         system.create_dir(root, recursive=True)
-        part, now, writer, hidden = TaskContext.get().partitionId(), None, None, ""
-        done = []
-
-        def close():
-            if writer is not None:
-                writer.close()
-                name = f"run-{part:06d}-{now:06d}.parquet"
-                system.move(hidden, f"{root}/{name}")
-                done.append((name, system.get_file_info(f"{root}/{name}").size))
-
+        part = TaskContext.get().partitionId()
+
+        def close(number: int, pieces: list) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(pieces)
+            name, hidden, kept = f"run-{part:06d}-{number:06d}.parquet", f"{root}/.{uuid.uuid4().hex}.tmp", rows.drop_columns(["h"])
+            with system.open_output_stream(hidden) as out:
+                pq.write_table(kept, out, compression="zstd")
+            with system.open_input_file(hidden) as back:
+                if not pq.read_table(back).equals(kept):
+                    raise RuntimeError(f"{name} isn't what was written")
+            size = system.get_file_info(hidden).size
+            system.move(hidden, f"{root}/{name}")
+            h = rows["h"].to_numpy().view(np.uint64)
+            sums = pa.table({"run_id": rows["run_id"], "a": (h >> np.uint64(32)).astype(np.int64), "b": (h & np.uint64(0xFFFFFFFF)).astype(np.int64), "bytes": rows["size"]})
+            held = sums.group_by("run_id").aggregate([([], "count_all"), ("a", "sum"), ("b", "sum"), ("bytes", "sum")])
+            keys, n = rows["key"].drop_null(), held.num_rows
+            low, high = (keys[0], keys[-1]) if len(keys) else (pa.scalar(None, pa.binary()),) * 2
+            same = lambda value, kind: pa.array([value] * n, kind)
+            cols = [same(name, pa.string()), same(size, pa.int64()), same(rows["store_id"][0].as_py(), pa.int32()), same(rows["level"][0].as_py(), pa.int32())]
+            cols += [held[c].combine_chunks().cast(pa.int64()) for c in ("run_id", "count_all", "a_sum", "b_sum", "bytes_sum")] + [same(low.as_py(), pa.binary()), same(high.as_py(), pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, ["file", "file_size", "store_id", "level", "run_id", "n", "a", "b", "bytes", "min_key", "max_key"])
+
+        now, pieces = None, []
         for number, rows in cut(batches):
-            if number != now:
-                close()
-                now, hidden = number, f"{root}/.{uuid.uuid4().hex}.tmp"
-                writer = pq.ParquetWriter(system.open_output_stream(hidden), rows.schema, compression="zstd")
-            writer.write_batch(rows)
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in done], pa.string()), pa.array([s for _, s in done], pa.int64())], ["file", "file_size"])
+            if number != now and pieces:
+                yield close(now, pieces)
+                pieces = []
+            now = number
+            if rows.num_rows:
+                pieces.append(rows)
+        if pieces:
+            yield close(now, pieces)
 
     return run
 
@@ -121,10 +138,7 @@ class Consolidated:
         return kept.unionByName(self.runs.select(F.col("new_run").alias("id"), "store_id", "level", "file_size"))
 
 
-def _checksum(df: DataFrame, by: list[str]) -> DataFrame:
-    h = F.xxhash64("run_id", F.col("key").isNull(), "key", F.col("value").isNull(), "value", F.col("op").isNull(), "op")
-    sums = [F.count("*").alias("n"), F.sum(F.shiftrightunsigned(h, 32)).alias("a"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("b"), F.sum("size").alias("bytes")]
-    return df.groupBy(*by).agg(*sums, F.min("key").alias("min_key"), F.max("key").alias("max_key"))
+HELD = "file string, file_size long, store_id int, level int, run_id long, n long, a long, b long, bytes long, min_key binary, max_key binary"
 
 
 def consolidate(meta: DataFrame, entries: DataFrame, small_run: int = SMALL_RUN, target_run: int = TARGET_RUN, range_bytes: int = RANGE_BYTES) -> Consolidated:
@@ -137,9 +151,11 @@ def consolidate(meta: DataFrame, entries: DataFrame, small_run: int = SMALL_RUN,
     spark = entries.sparkSession
     inputs = materialize(small_runs(meta, small_run).select("id", "store_id", "level"), "consolidate-inputs")
     size = F.coalesce(encoded_bytes(F.col("key"), F.col("value"), F.col("op")), F.lit(5))
-    picked = entries.select("run_id", "key", "value", "op").join(inputs, F.col("run_id") == F.col("id")).select("store_id", "level", size.alias("size"), "run_id", "key", "value", "op")
+    h = F.xxhash64("run_id", F.col("key").isNull(), "key", F.col("value").isNull(), "value", F.col("op").isNull(), "op")
+    picked = entries.select("run_id", "key", "value", "op").join(inputs, F.col("run_id") == F.col("id")).select("store_id", "level", size.alias("size"), "run_id", "key", "value", "op", h.alias("h"))
     group = ["store_id", "level"]
-    before = materialize(_checksum(picked, group), "consolidate-before")
+    sums = [F.count("*").alias("n"), F.sum(F.shiftrightunsigned("h", 32)).alias("a"), F.sum(F.col("h").bitwiseAND(F.lit(0xFFFFFFFF))).alias("b"), F.sum("size").alias("bytes")]
+    before = materialize(picked.groupBy(*group).agg(*sums), "consolidate-before")
     total, widest = before.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("bytes"), F.lit(0))).first()
     ranges = max(-(-total // range_bytes), min(spark.sparkContext.defaultParallelism, -(-total // (1 << 20))), 1)
     order, border = [*group, "key", "run_id"], [F.col(c) for c in group]
@@ -147,26 +163,24 @@ def consolidate(meta: DataFrame, entries: DataFrame, small_run: int = SMALL_RUN,
         large = before.where(F.col("bytes") > range_bytes).select(F.col("store_id").alias("_s"), F.col("level").alias("_l"), F.lit(True).alias("large"))
         picked = picked.join(large, F.col("store_id").eqNullSafe(F.col("_s")) & (F.col("level") == F.col("_l")), "left")
         border += [F.when(F.col("large"), F.col("key")), F.when(F.col("large"), F.col("run_id"))]
-    merged = picked.repartitionByRange(ranges, *border).sortWithinPartitions(*order).select("store_id", "level", "size", "run_id", "key", "value", "op")
+    merged = picked.repartitionByRange(ranges, *border).sortWithinPartitions(*order).select("store_id", "level", "size", "run_id", "key", "value", "op", "h")
     base = work_dir(spark, "consolidate")
-    files = materialize(merged.mapInArrow(_write_runs(f"{base}/runs", _cut(target_run)), "file string, file_size long"), "consolidate-files")
-
-    out = spark.createDataFrame([], ENTRIES).withColumn("file", F.lit(""))
-    if not files.isEmpty():
-        out = spark.read.schema(ENTRIES).parquet(f"{base}/runs").withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
-    held = materialize(_checksum(out, ["file", *group, "run_id"]), "consolidate-held")
+    held = materialize(merged.mapInArrow(_write_runs(f"{base}/runs", _cut(target_run)), HELD), "consolidate-held")
     after = held.groupBy(*group).agg(*(F.sum(c).alias(c) for c in ("n", "a", "b", "bytes")))
     proof = before.select(*group, "n", "a", "b", "bytes")
     if wrong := proof.exceptAll(after).union(after.exceptAll(proof)).take(5):
         raise RuntimeError(f"entries changed in {wrong}")
     top = meta.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    runs = held.groupBy("file", *group).agg(F.sum("n").alias("record_count"), F.sum("bytes").alias("data_length"), F.min("min_key").alias("min_key"), F.max("max_key").alias("max_key"), F.count("*").alias("inputs"))
+    runs = held.groupBy("file", "file_size", *group, "min_key", "max_key").agg(F.sum("n").alias("record_count"), F.sum("bytes").alias("data_length"), F.count("*").alias("inputs"))
     # as many rows as new files
-    numbered = runs.join(files, "file").withColumn("new_run", F.row_number().over(Window.orderBy("file")) + F.lit(top).cast("long"))
+    numbered = runs.withColumn("new_run", F.row_number().over(Window.orderBy("file")) + F.lit(top).cast("long"))
     numbered.select("new_run", *group, "file", "file_size", "record_count", "data_length", "min_key", "max_key", "inputs").write.parquet(f"{base}/meta")
     runs = spark.read.schema("new_run long, store_id int, level int, file string, file_size long, record_count long, data_length long, min_key binary, max_key binary, inputs long").parquet(f"{base}/meta")
     named = held.select("file", F.col("run_id").alias("id")).join(runs.select("file", "new_run"), "file").select("id", "new_run")
     inputs.select("id").join(named, "id", "left").write.parquet(f"{base}/replaced")
     Folder(spark, base).create("published.json", dump({"runs": "runs", "meta": "meta", "replaced": "replaced"}))
     replaced = spark.read.schema("id long, new_run long").parquet(f"{base}/replaced")
+    out = spark.createDataFrame([], ENTRIES).withColumn("file", F.lit(""))
+    if not runs.isEmpty():
+        out = spark.read.schema(ENTRIES).parquet(f"{base}/runs").withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
     return Consolidated(inputs, out.join(runs.select("file", "new_run"), "file").select("new_run", *group, "run_id", "key", "value", "op"), runs, replaced, f"{base}/runs")
