@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import kv_queries, maintenance
+from . import kv_queries, maintenance, store_queries
 
 
 def queries() -> dict:
-    return {**kv_queries.QUERIES, **maintenance.queries()}
+    return {**kv_queries.QUERIES, **store_queries.QUERIES, **maintenance.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**kv_queries.SQL, **maintenance.oracle_sql()}
+    return {**kv_queries.SQL, **store_queries.SQL, **maintenance.oracle_sql()}

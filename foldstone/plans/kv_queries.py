@@ -370,7 +370,24 @@ def sorted_run_bounds(spark, sf_dir):
     return chunking.run_stats(rows, "run_id").select("run_id", "record_count", F.hex("min_key").alias("min_hex"), F.hex("max_key").alias("max_hex"))
 
 
-@_query()
+_BYTES_SQL = "list_transform(range(1, n + 1), lambda i: CAST('0x' || substr(x, 2 * i - 1, 2) AS HUGEINT))"
+_FNV_SQL = f"list_reduce(list_prepend(14695981039346656037::HUGEINT, {_BYTES_SQL}), lambda h, c: ((((h // 256) * 256) + xor(h % 256, c)) * 1099511628211) % 18446744073709551616)"
+
+
+@_query(f"""
+    WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::BIGINT, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab),
+    e AS (SELECT DISTINCT run_id, key FROM sst_entries WHERE run_id IS NOT NULL AND key IS NOT NULL),
+    k AS (SELECT key, hex(key) AS x, octet_length(key) AS n FROM (SELECT DISTINCT key FROM e)),
+    c AS (SELECT key, {_FNV_SQL} AS a, xor(list_reduce(list_prepend(4294967295::HUGEINT, {_BYTES_SQL}), lambda c, b: xor(c // 256, tab[CAST(xor(c % 256, b) AS INTEGER) + 1]::HUGEINT)), 4294967295::HUGEINT) AS crc FROM k, t),
+    h AS (SELECT key, a, CASE crc WHEN 0 THEN {bloom.NO_CRC}::HUGEINT ELSE crc END AS b FROM c),
+    f AS (SELECT DISTINCT run_id, hash_count, bits FROM bloom_filters WHERE run_id IS NOT NULL AND bits IS NOT NULL),
+    fx AS (SELECT run_id, coalesce(hash_count, 0) AS probes, hex(bits) AS hx, octet_length(bits) * 8 AS m, row_number() OVER () AS fid FROM f),
+    probed AS (SELECT e.run_id, fid, CASE WHEN m = 0 OR probes <= 0 THEN true ELSE len(list_filter(range(probes), lambda i:
+        ((CAST('0x' || substr(hx, CAST(2 * ((((a + i * b + i * i) % 18446744073709551616) % m) // 8) + 1 AS BIGINT), 2) AS INTEGER) >> CAST(((a + i * b + i * i) % 18446744073709551616) % m % 8 AS INTEGER)) & 1) = 0)) = 0 END AS may
+        FROM e JOIN h ON e.key = h.key JOIN fx ON fx.run_id = e.run_id),
+    lost AS (SELECT run_id, min(n) AS n FROM (SELECT run_id, fid, count(*) FILTER (WHERE NOT may) AS n FROM probed GROUP BY run_id, fid) GROUP BY run_id)
+    SELECT e.run_id, count(*) AS keys, CASE WHEN any_value(lost.n) IS NULL THEN 'missing' WHEN any_value(lost.n) > 0 THEN 'damaged' ELSE 'sound' END AS state, coalesce(any_value(lost.n), 0) AS lost_keys
+    FROM e LEFT JOIN lost ON lost.run_id = e.run_id GROUP BY e.run_id""")
 def bloom_health(spark, sf_dir):
     return bloom.filter_health(table(spark, sf_dir, "sst_entries"), table(spark, sf_dir, "bloom_filters"))
 

@@ -7,6 +7,7 @@ written by the executors under a temporary name and then renamed.
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import re
 import struct
@@ -59,8 +60,8 @@ def encode_log(records: Iterable[tuple[int, str, bytes | None, bytes | None]]) -
     return b"".join(out)
 
 
-def decode_log(data: bytes) -> Iterator[tuple[int, str, bytes | None, bytes | None]]:
-    """The records before the first frame that is cut off, empty, too large, damaged or unknown."""
+def _frames(data: bytes) -> Iterator[tuple[int, tuple[int, str, bytes | None, bytes | None]]]:
+    """The end of each sound frame and its record."""
     at = 0
     while at + LOG_FRAME.size <= len(data):
         size, crc = LOG_FRAME.unpack_from(data, at)
@@ -79,7 +80,20 @@ def decode_log(data: bytes) -> Iterator[tuple[int, str, bytes | None, bytes | No
                 value, end = _bytes_at(body, end)
         except (struct.error, KeyError):
             return
-        yield lsn, letter, key, value
+        yield at, (lsn, letter, key, value)
+
+
+def decode_log(data: bytes) -> Iterator[tuple[int, str, bytes | None, bytes | None]]:
+    """The records before the first frame that is cut off, empty, too large, damaged or unknown."""
+    return (record for _, record in _frames(data))
+
+
+def sound_bytes(data: bytes) -> int:
+    """The length of the part of a segment that ``decode_log`` reads."""
+    end = 0
+    for end, _ in _frames(data):
+        pass
+    return end
 
 
 # -- sorted files --------------------------------------------------------------
@@ -126,7 +140,8 @@ def _expect(ok: bool, what: str) -> None:
         raise Corrupt(what)
 
 
-def _decode_sorted(data: bytes) -> list[tuple[bytes, int, bytes | None]]:
+def _sections(data: bytes) -> tuple[int, int, bytes, bytes, bytes, bytes, int, int, int]:
+    """``(count, start, index, filter, low, high, body's start, its end, its checksum)`` of a sorted file whose frame is sound."""
     _expect(len(data) >= FILE_HEADER.size + TRAILER.size, "the file is too small")
     magic, version, _ = FILE_HEADER.unpack_from(data)
     _expect(magic == FILE_MAGIC and version in FILE_VERSIONS, "unknown magic or version")
@@ -140,26 +155,83 @@ def _decode_sorted(data: bytes) -> list[tuple[bytes, int, bytes | None]]:
     low, after = _bytes_at(data, footer_at + FOOTER[kind].size)
     high, after = _bytes_at(data, after)
     _expect(at == FILE_HEADER.size and index_at == at + length and bloom_at == index_at + index_len and bloom_at + bloom_len == footer_at and after == len(data) - TRAILER.size, "sections don't follow one another")
-    body, index, filters = data[at:index_at], data[index_at:bloom_at], data[bloom_at:footer_at]
-    _expect(zlib.crc32(body) == crc and zlib.crc32(index) == index_crc and zlib.crc32(filters) == bloom_crc, "wrong checksum")
-    out, pos = [], 0
-    while pos < len(body):
-        op = body[pos]
-        _expect(op in (FILE_PUT, FILE_DELETE), "unknown operation")
-        key, pos = _bytes_at(body, pos + 1)
-        value = None
-        if op == FILE_PUT:
-            value, pos = _bytes_at(body, pos)
-        _expect(not out or key > out[-1][0], "keys aren't increasing")
-        out.append((key, 1 if op == FILE_PUT else 0, value))
-    _expect(len(out) == count and (not out or (low, high) == (out[0][0], out[-1][0])), "count or bounds are wrong")
+    index, filters = data[index_at:bloom_at], data[bloom_at:footer_at]
+    _expect(zlib.crc32(index) == index_crc and zlib.crc32(filters) == bloom_crc, "wrong checksum")
     _check_index(index, at, length)
     if filters:
         v, probes, n = BLOOM_HEAD.unpack_from(filters)
         _expect(v == 1 and probes > 0 and BLOOM_HEAD.size + n == len(filters), "wrong filter")
+    return count, version, index, filters, low, high, at, index_at, crc
+
+
+def _entries(data: bytes, pos: int, end: int) -> Iterator[tuple[bytes, int, bytes | None]]:
+    previous = None
+    while pos < end:
+        op = data[pos]
+        _expect(op in (FILE_PUT, FILE_DELETE), "unknown operation")
+        key, pos = _bytes_at(data, pos + 1)
+        value = None
+        if op == FILE_PUT:
+            value, pos = _bytes_at(data, pos)
+        _expect(previous is None or key > previous, "keys aren't increasing")
+        previous = key
+        yield key, 1 if op == FILE_PUT else 0, value
+    _expect(pos == end, "an entry crosses the end of its block")
+
+
+def _decode_sorted(data: bytes) -> list[tuple[bytes, int, bytes | None]]:
+    count, _, _, _, low, high, at, end, crc = _sections(data)
+    _expect(zlib.crc32(data[at:end]) == crc, "wrong checksum")
+    out = list(_entries(data, at, end))
+    _expect(len(out) == count and (not out or (low, high) == (out[0][0], out[-1][0])), "count or bounds are wrong")
+    return out
+
+
+def _blocks(index: bytes) -> list[tuple[bytes, int, int]]:
+    """``(first key, start, end)`` of each block."""
+    out, pos = [], LENGTH.size
+    for _ in range(LENGTH.unpack_from(index)[0] if index else 0):
+        start, size, n = BLOCK_ENTRY.unpack_from(index, pos)
+        out.append((index[pos + BLOCK_ENTRY.size : pos + BLOCK_ENTRY.size + n], start, start + size))
+        pos += BLOCK_ENTRY.size + n
     return out
 
 
+def decode_range(data: bytes, start: bytes | None = None, end: bytes | None = None) -> list[tuple[bytes, int, bytes | None]]:
+    """The entries of a sorted file with keys in ``[start, end)``. A file whose bounds lie outside is passed over, and of others only blocks that may hold such keys are decoded."""
+    try:
+        count, _, index, _, low, high, at, stop, _ = _sections(data)
+        if not count or (start is not None and high < start) or (end is not None and low >= end):
+            return []
+        blocks = _blocks(index) or [(low, at, stop)]
+        firsts = [b[0] for b in blocks]
+        lo = 0 if start is None else max(0, bisect.bisect_right(firsts, start) - 1)
+        hi = len(blocks) if end is None else bisect.bisect_left(firsts, end)
+        found = itertools.chain.from_iterable(_entries(data, a, b) for _, a, b in blocks[lo:hi])
+        return [e for e in found if (start is None or e[0] >= start) and (end is None or e[0] < end)]
+    except (struct.error, KeyError, IndexError) as e:
+        raise Corrupt(f"the file is cut off or damaged: {e}") from e
+
+
+def find_keys(data: bytes, keys: list[bytes]) -> list[tuple[bytes, int, bytes | None]]:
+    """The entries of a sorted file with these keys: what its bounds and its filter don't exclude is looked up in one block each."""
+    try:
+        count, _, index, filters, low, high, at, stop, _ = _sections(data)
+        near = sorted({k for k in keys if count and low <= k <= high})
+        if filters and near:
+            _, probes, _ = BLOOM_HEAD.unpack_from(filters)
+            near = [k for k, may in zip(near, bloom.may_contain(filters[BLOOM_HEAD.size :], probes, near)) if may]
+        blocks = _blocks(index) or [(low, at, stop)]
+        firsts = [b[0] for b in blocks]
+        out = []
+        for block, own in itertools.groupby(near, lambda k: max(0, bisect.bisect_right(firsts, k) - 1)):
+            wanted = set(own)
+            out += [e for e in _entries(data, blocks[block][1], blocks[block][2]) if e[0] in wanted]
+        return out
+    except (struct.error, KeyError, IndexError) as e:
+        raise Corrupt(f"the file is cut off or damaged: {e}") from e
+
+
 def _check_index(index: bytes, at: int, length: int) -> None:
     """Blocks must cover the data without gaps, with increasing first keys."""
     pos, expected, previous = LENGTH.size, at, None
@@ -186,8 +258,12 @@ def _read(spark: SparkSession, path: str, suffix: str, decode, schema: str, type
                     cols = [[number] * len(part), *zip(*part)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
+    return _files(spark, path, suffix).mapInArrow(run, schema)
+
+
+def _files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", f"*.{suffix}").load(path)
-    return files.where(F.col("path").rlike(rf"/\d+\.{suffix}$")).select("path", "content").mapInArrow(run, schema)
+    return files.where(F.col("path").rlike(rf"/\d+\.{suffix}$")).select("path", "content")
 
 
 def read_log(spark: SparkSession, path: str, from_segment: int = 1) -> DataFrame:
@@ -195,9 +271,43 @@ def read_log(spark: SparkSession, path: str, from_segment: int = 1) -> DataFrame
     return _read(spark, path, "wal", decode_log, LOG_SCHEMA, [pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary()]).where(F.col("segment") >= from_segment)
 
 
-def read_sorted(spark: SparkSession, path: str) -> DataFrame:
-    """``(id, key, op, value)`` of the sorted files in a folder; a damaged file fails the query."""
-    return _read(spark, path, "sst", decode_sorted, FILE_SCHEMA, [pa.int64(), pa.binary(), pa.int8(), pa.binary()])
+_SORTED_TYPES = [pa.int64(), pa.binary(), pa.int8(), pa.binary()]
+
+
+def read_sorted(spark: SparkSession, path: str, start: bytes | None = None, end: bytes | None = None) -> DataFrame:
+    """``(id, key, op, value)`` of the sorted files in a folder, whole or of keys in ``[start, end)``; a damaged file fails the query.
+
+    A whole file's data checksum is compared; of a range only frame, index, filter and the decoded blocks are checked.
+    """
+    decode = decode_sorted if start is None and end is None else lambda data: decode_range(data, start, end)
+    return _read(spark, path, "sst", decode, FILE_SCHEMA, _SORTED_TYPES)
+
+
+def find_sorted(spark: SparkSession, path: str, keys: list[bytes]) -> DataFrame:
+    """``(id, key, op, value)`` of some keys in the sorted files of a folder."""
+    return _read(spark, path, "sst", lambda data: find_keys(data, keys), FILE_SCHEMA, _SORTED_TYPES)
+
+
+def repair_log(spark: SparkSession, path: str) -> DataFrame:
+    """Cut each segment of a folder behind its last sound frame; ``(segment, kept, cut)`` in bytes. Sound segments aren't written."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                kept = sound_bytes(content)
+                if kept < len(content):
+                    system, at = fs.FileSystem.from_uri(file)
+                    hidden = f"{at.rpartition('/')[0]}/.{uuid.uuid4().hex}.tmp"
+                    with system.open_output_stream(hidden) as stream:
+                        stream.write(content[:kept])
+                    system.move(hidden, at)
+                out.append((int(re.search(r"(\d+)\.\w+$", file)[1]), kept, len(content) - kept))
+            cols = list(zip(*out)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64()))], ["segment", "kept", "cut"])
+
+    done = _files(spark, path, "wal").mapInArrow(run, "segment int, kept long, cut long").collect()  # one row a segment; repairing happens once
+    return spark.createDataFrame(done, "segment int, kept long, cut long")
 
 
 def _write(df: DataFrame, path: str, suffix: str, order: list[str], encode) -> list[str]:

@@ -72,3 +72,30 @@ def test_files_as_tables(spark, tmp_path):
     runs = spark.createDataFrame([(i, b(k), op, b(v)) for i in (3, 4) for k, op, v in ENTRIES], "id long, key binary, op byte, value binary").repartition(4)
     assert binary.write_sorted(runs, f"file://{tmp_path}/runs") == ["000003.sst", "000004.sst"]
     assert rows(binary.read_sorted(spark, f"file://{tmp_path}/runs")) == rows(runs)
+
+
+def test_ranges_and_points_decode_few_blocks(monkeypatch):
+    data, keys = binary.encode_sorted(ENTRIES), [e[0] for e in ENTRIES]
+    decoded = []
+    entries = binary._entries
+    monkeypatch.setattr(binary, "_entries", lambda d, a, b: decoded.append((a, b)) or entries(d, a, b))
+    for start, end in ((None, None), (b"k010", b"k012"), (None, b"k001"), (b"k079", None), (b"k0311", b"k0319"), (b"z", None), (None, b""), (b"k05", b"k05")):
+        assert binary.decode_range(data, start, end) == [e for e in ENTRIES if (start is None or e[0] >= start) and (end is None or e[0] < end)]
+    decoded.clear()
+    assert binary.decode_range(data, b"k010", b"k012") == ENTRIES[10:12] and len(decoded) == 1
+    decoded.clear()
+    assert binary.find_keys(data, [keys[70], keys[3], b"k0035", b"a", b"zz", keys[3]]) == [ENTRIES[3], ENTRIES[70]] and len(decoded) <= 3
+    assert binary.find_keys(binary.encode_sorted([]), keys) == binary.decode_range(binary.encode_sorted([])) == []
+    with pytest.raises(Corrupt):
+        binary.find_keys(data[:-1], keys)
+
+
+def test_torn_segments_are_cut(spark, tmp_path):
+    df = spark.createDataFrame([(s, n, "P", b("k"), b("v")) for s in (1, 2) for n in range(5)], binary.LOG_SCHEMA)
+    path = f"file://{tmp_path}/log"
+    binary.write_log(df, path)
+    torn = tmp_path / "log" / "000002.wal"
+    whole = torn.read_bytes()
+    torn.write_bytes(whole + whole[:9])
+    assert rows(binary.repair_log(spark, path), "segment", "kept", "cut") == [(1, len(whole), 0), (2, len(whole), 9)]
+    assert torn.read_bytes() == whole and rows(binary.repair_log(spark, path), "cut") == [(0,), (0,)]
