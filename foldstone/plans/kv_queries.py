@@ -225,15 +225,9 @@ def block_cut(spark, sf_dir):
     return chunking.block_cut(_sized(spark, sf_dir), "segment", ["key"], "size", BLOCK).select("segment", "key", "piece")
 
 
-@_query(f"WITH {OPS_SQL}, halves AS (SELECT * FROM ops WHERE segment % 2 = 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) SELECT key, seq, op FROM halves")
-def compact_keep(spark, sf_dir):
-    """Merging some of the runs keeps tombstones: older runs may hold what they hide."""
-    return fold.latest(ops(spark, sf_dir).where("segment % 2 = 0").select("key", "seq", "op", "value")).select("key", "seq", "op")
-
-
 @_query(f"WITH {OPS_SQL} SELECT segment // {MERGED} AS run, key, seq, op FROM ops QUALIFY row_number() OVER (PARTITION BY segment // {MERGED}, key ORDER BY seq DESC) = 1")
-def compact_keep_all(spark, sf_dir):
-    """Merging each group of adjacent runs keeps tombstones; every run is in a group. ``compact_keep`` merges every second run only."""
+def compact_keep(spark, sf_dir):
+    """Merging each group of adjacent runs keeps tombstones, as older runs may hold what they hide; every run is in a group."""
     rows = ops(spark, sf_dir).withColumn("run", F.floor(F.col("segment") / MERGED).cast("int"))
     return fold.latest(rows.select("run", "key", "seq", "op", "value"), ["run", "key"]).select("run", "key", "seq", "op")
 
@@ -330,21 +324,10 @@ def bottommost_flag(spark, sf_dir):
     return compaction.bottommost(plans, m)
 
 
-@_query(f"""WITH {_META_SQL}, k AS (SELECT DISTINCT store_id AS s, key FROM memtable_ops WHERE key IS NOT NULL)
-    SELECT s AS store_id, hex(key) AS key_hex, count(id) AS may_hold FROM k LEFT JOIN meta ON store_id = s AND min_key <= key AND max_key >= key AND level = 4 GROUP BY s, key""")
-def run_prune(spark, sf_dir):
-    """How many deep runs may hold each key, by their bounds alone; ``run_prune_all`` has every level."""
-    keys = table(spark, sf_dir, "memtable_ops").where("key is not null").select("store_id", "key").distinct()
-    asked = keys.withColumn("id", F.xxhash64("store_id", "key"))
-    runs = _meta(spark, sf_dir).where("level = 4")
-    counts = compaction.overlap_counts(asked.withColumn("min_key", F.col("key")).withColumn("max_key", F.col("key")), runs, ["store_id"])
-    return asked.join(counts, ["store_id", "id"]).select("store_id", F.hex("key").alias("key_hex"), F.col("overlapping").alias("may_hold"))
-
-
 @_query(f"""WITH {_META_SQL}, k AS (SELECT DISTINCT store_id AS s, key FROM memtable_ops WHERE key IS NOT NULL)
     SELECT s AS store_id, hex(key) AS key_hex, count(id) AS may_hold FROM k LEFT JOIN meta ON store_id IS NOT DISTINCT FROM s AND min_key <= key AND max_key >= key GROUP BY s, key""")
-def run_prune_all(spark, sf_dir):
-    """How many runs of any level, a NULL one too, may hold each key, by their bounds alone; ``run_prune`` counts level 4 only."""
+def run_prune(spark, sf_dir):
+    """How many runs of any level, a NULL one too, may hold each key, by their bounds alone."""
     keys = table(spark, sf_dir, "memtable_ops").where("key is not null").select("store_id", "key").distinct()
     asked = keys.withColumn("id", F.xxhash64("store_id", "key"))
     counts = compaction.overlap_counts(asked.withColumn("min_key", F.col("key")).withColumn("max_key", F.col("key")), _meta(spark, sf_dir), ["store_id"])
