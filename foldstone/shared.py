@@ -119,6 +119,12 @@ class Folder:
             if self._fs.exists(self._path(hidden)):
                 self._fs.delete(self._path(hidden), False)
 
+    def move(self, name: str, to: str) -> None:
+        """Rename a file or folder; the target's parent is made."""
+        self._fs.mkdirs(self._path(to.rpartition("/")[0]))
+        if not self._fs.rename(self._path(name), self._path(to)):
+            raise OSError(f"{self.path}/{name} can't be renamed to {to}")
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
 

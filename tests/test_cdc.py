@@ -108,3 +108,64 @@ def test_session_settings_are_restored(spark):
     before = spark.conf.get(key)
     cdc.rebuild(cdc.command_changes(commands(spark, [(1, b"k", 1, 1, b"v")])))
     assert spark.conf.get(key) == before
+
+
+def table_of(records):
+    """The live keys of the whole log at once."""
+    newest = {}
+    for s, n, kind, key in in_force(records):
+        if n >= newest.get((s, key), (-1,))[0]:
+            newest[s, key] = n, kind
+    return order((s, k, n) for (s, k), (n, kind) in newest.items() if kind == "P")
+
+
+def test_a_log_that_grows(spark):
+    rng = random.Random(21)
+    feed, records, got = cdc.Feed(spark, work_dir(spark, "feed")), [], []
+    for step in range(5):
+        for s in (1, 2, None):
+            if s == 2 and step == 2:
+                continue  # nothing new
+            for n in range(step * 12, step * 12 + 12):
+                records.append((s, step + 1, n, rng.choice("PPPDBE"), rng.choice([b"a", b"b", b"c", b"d", None]), b"v"))
+        if step in (1, 3):  # delivered again as it was, in a later segment
+            records += [(r[0], step + 1, *r[2:]) for r in rng.sample([r for r in records if r[1] <= step], 6)]
+        if step == 3:  # delivered again with other content: a begin becomes an end and the other way round, a put a delete
+            old = [r for r in records if r[0] == 1 and r[1] == 1]
+            records += [(1, 4, r[2], {"B": "E", "E": "B", "P": "D", "D": "P"}[r[3]], r[4], b"other") for r in old]
+        before = feed.advance(log(spark, records), commands(spark, [(9, b"k", step, 1, b"c")]))
+        now = before.where("live and feed = 'wal'")
+        assert rows(now, "store_id", "key", "seq") == table_of(records), step
+        got.append(rows(before.where("feed = 'mem'"), "seq"))
+        if step == 2:
+            cdc.merge_batches(spark, f"{feed.path}/table")
+    assert got == [[(n,)] for n in range(5)]
+    version = feed.folder.list()
+    assert rows(feed.advance(log(spark, records)).where("live and feed = 'wal'"), "store_id", "key", "seq") == table_of(records)
+    assert len([n for n in feed.folder.list() if n.startswith("marks-")]) == len([n for n in version if n.startswith("marks-")]) + 1
+
+
+def test_only_the_open_end_of_a_log_is_resolved_again(spark, monkeypatch):
+    feed, seen = cdc.Feed(spark, work_dir(spark, "feed")), []
+    resolve = cdc.effective_log
+    monkeypatch.setattr(cdc, "effective_log", lambda wal, *a, **k: seen.append(rows(wal, "lsn")) or resolve(wal, *a, **k))
+    first = [(1, 1, 1, "P", b"a", b"1"), (1, 1, 2, "B", None, None), (1, 1, 3, "P", b"b", b"1"), (1, 1, 4, "E", None, None), (1, 1, 5, "B", None, None), (1, 1, 6, "P", b"a", b"2")]
+    more = [(1, 2, 3, "P", b"b", b"1"), (1, 2, 7, "E", None, None), (1, 2, 8, "D", b"b", None)]
+    assert rows(feed.advance(log(spark, first)).where("live"), "key", "seq") == [(b"a", 1), (b"b", 3)]
+    assert rows(feed.advance(log(spark, first + more)).where("live"), "key", "seq") == [(b"a", 6)]
+    assert seen[1] == [(5,), (6,), (7,), (8,)]
+    assert rows(feed.advance(log(spark, [])).where("live"), "key", "seq") == [(b"a", 6)]
+
+
+def test_changes_of_a_step_that_died_are_fed_by_the_next(spark, monkeypatch):
+    feed = cdc.Feed(spark, work_dir(spark, "feed"))
+    stream = cdc._stream
+
+    def dies(*args):
+        raise RuntimeError("dead")
+
+    monkeypatch.setattr(cdc, "_stream", dies)
+    with pytest.raises(RuntimeError):
+        feed.advance(log(spark, [(1, 1, 1, "P", b"a", b"1")]))
+    monkeypatch.setattr(cdc, "_stream", stream)
+    assert rows(feed.advance(log(spark, [(1, 1, 1, "P", b"a", b"1"), (1, 2, 2, "P", b"b", b"1")])), "key", "seq") == [(b"a", 1), (b"b", 2)]

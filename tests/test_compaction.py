@@ -69,7 +69,7 @@ def test_pruning_counts_runs_of_every_level(spark, tmp_path):
     table(spark, runs).selectExpr("*", "timestamp'2026-01-01' AS recorded_at").write.parquet(f"{tmp_path}/run_meta.parquet")
     keys = [(1, bytearray(b"a")), (1, bytearray(b"m")), (1, bytearray(b"m")), (1, bytearray(b"p")), (1, bytearray(b"zz")), (2, bytearray(b"a")), (None, bytearray(b"a")), (1, None)]
     spark.createDataFrame(keys, "store_id int, key binary").write.parquet(f"{tmp_path}/memtable_ops.parquet")
-    got = catalog.queries()["run_prune_all"](spark, str(tmp_path))
+    got = catalog.queries()["run_prune"](spark, str(tmp_path))
     hexed = lambda k: k.hex().upper()
     assert rows(got, "store_id", "key_hex", "may_hold") == order([(1, hexed(b"a"), 7), (1, hexed(b"m"), 7), (1, hexed(b"p"), 1), (1, hexed(b"zz"), 0), (2, hexed(b"a"), 0), (None, hexed(b"a"), 0)])
 
@@ -79,5 +79,5 @@ def test_partial_merges_cover_every_run(spark, tmp_path):
 
     events = [(e, e % 2, "error" if e == 5001 else "view", "x") for e in (10, 1010, 3011, 4001, 5001, 5002, 9003)]
     spark.createDataFrame(events, "event_id long, user_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
-    got = catalog.queries()["compact_keep_all"](spark, str(tmp_path))
+    got = catalog.queries()["compact_keep"](spark, str(tmp_path))
     assert rows(got, "run", "seq", "op") == order([(0, 1010, 1), (0, 3011, 1), (1, 5001, 0), (1, 5002, 1), (2, 9003, 1)])
