@@ -33,6 +33,10 @@ class InvalidWrite(StoreError, ValueError):
     """The rows to be written break a rule of the store."""
 
 
+class Failed(StoreError):
+    """A flush or compaction after an earlier write failed; this handle takes no more writes."""
+
+
 class Corrupt(StoreError):
     """A manifest or a run isn't what was published."""
 

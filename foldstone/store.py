@@ -14,7 +14,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .model import DELETE, OPS, PUT, Closed, Conflict, Corrupt, InvalidBatch, InvalidWrite, NotFound, Options
+from .model import DELETE, OPS, PUT, Closed, Conflict, Corrupt, Failed, InvalidBatch, InvalidWrite, NotFound, Options
 from .operators import fold
 from .plans.compaction import Plan, RunMeta, pick
 from .shared import Folder, work_dir
@@ -52,7 +52,7 @@ class Store:
     def __init__(self, spark: SparkSession, path: str, options: Options, durable: bool):
         self.spark, self.path, self.options, self.durable = spark, path.rstrip("/"), options, durable
         self.folder, self.manifest = Folder(spark, self.path), Manifest(spark, self.path)
-        self.closed = False
+        self.closed, self.failed = False, None
 
     # -- writing ---------------------------------------------------------
 
@@ -110,8 +110,13 @@ class Store:
         self._commit(lambda seq: ops.select("key", F.lit(seq).cast("long").alias("seq"), "op", "value"), 1, stream)
 
     def _commit(self, rows, numbers: int, stream: tuple[str, int] | None = None) -> None:
+        if self.failed:
+            raise Failed("an earlier flush or compaction failed") from self.failed
         while True:
             base = self.manifest.load()
+            if self.options.auto_flush and sum(c.data_length for c in base.log) > 2 * self.options.memtable:
+                self._maintain()  # whoever wrote that much has left it unflushed; writing waits for it
+                continue
             if stream and base.streams.get(stream[0], -1) >= stream[1]:
                 return
             streams = base.streams | ({stream[0]: stream[1]} if stream else {})
@@ -127,7 +132,17 @@ class Store:
             except Conflict:
                 self.folder.delete(name)  # written with numbers that another writer took; they are written anew
         if self.options.auto_flush and sum(c.data_length for c in new.log) > self.options.memtable:
+            self._maintain()
+
+    def _maintain(self) -> None:
+        """Flush after a write. What was written stays; if the flush fails, this handle refuses further writes until the store is opened again."""
+        try:
             self.flush()
+        except Conflict:
+            pass  # another writer flushed
+        except Exception as e:
+            self.failed = e
+            raise
 
     # -- reading ---------------------------------------------------------
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foldstone import store as st
-from foldstone.model import Closed, Conflict, Corrupt, InvalidBatch, InvalidWrite, NotFound, Options
+from foldstone.model import Closed, Conflict, Corrupt, Failed, InvalidBatch, InvalidWrite, NotFound, Options
 from tables import b, rows
 
 QUIET = Options(auto_flush=False, auto_compact=False)
@@ -323,3 +323,25 @@ def test_multi_get_of_few_and_many_keys(store):
     for wanted in ([], ["k05", "k07", "nope"], [f"k{i:02d}" for i in range(0, 60)]):
         got = {r.key.decode(): r.status for r in store.multi_get(store.spark.createDataFrame([(b(k),) for k in wanted] * 2, "key binary")).collect()}
         assert got == {k: "deleted" if k == "k05" else "value" if k < "k40" else "missing" for k in wanted}
+
+
+def test_a_failed_flush_stops_writing_but_not_reading(spark, tmp_path, monkeypatch):
+    store = st.open_store(spark, f"file://{tmp_path}/s", Options(memtable=10))
+    monkeypatch.setattr(store, "_write_run", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        store.put(b"a", b"x" * 20)
+    monkeypatch.undo()
+    with pytest.raises(Failed):
+        store.put(b"b", b"1")
+    assert store.get(b"a") == b"x" * 20
+    opened = again(store, Options(memtable=10))
+    opened.put(b"b", b"1")
+    assert [k for k, _ in opened.iterator()] == [b"a", b"b"] and opened.command_count() <= 1
+
+
+def test_writing_waits_for_the_flush_of_what_others_left(spark, tmp_path):
+    left, store = st.open_store(spark, f"file://{tmp_path}/s", QUIET), st.open_store(spark, f"file://{tmp_path}/s", Options(memtable=20))
+    for i in range(3):
+        left.put(b"k%d" % i, b"v" * 20)
+    store.put(b"z", b"")
+    assert store.command_count() == 1 and len(store.snapshot().runs) == 1 and len(list(store.iterator())) == 4
