@@ -14,14 +14,19 @@ FNV_OFFSET, FNV_PRIME, NO_CRC = 0xCBF29CE484222325, 0x100000001B3, 0x9E3779B97F4
 
 
 def hash_pair(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """FNV-1a of 64 bits and CRC-32 (a fixed value in place of 0) of each key, all keys at once byte by byte."""
-    lengths = np.array([len(k) for k in keys])
-    width = int(lengths.max(initial=0))
-    rows = np.frombuffer(b"".join(k.ljust(width, b"\0") for k in keys), np.uint8).reshape(len(keys), width)
+    """FNV-1a of 64 bits and CRC-32 (a fixed value in place of 0) of each key, keys of similar length at once byte by byte."""
+    lengths = np.array([len(k) for k in keys], np.int64)
     h = np.full(len(keys), FNV_OFFSET, np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(width):
-            h = np.where(lengths > j, (h ^ rows[:, j]) * np.uint64(FNV_PRIME), h)
+    sizes = np.array([int(n).bit_length() for n in lengths])
+    for size in np.unique(sizes[lengths > 0]):  # padded to less than twice their bytes
+        own = np.flatnonzero(sizes == size)
+        n, width = lengths[own], int(lengths[own].max())
+        rows = np.frombuffer(b"".join(keys[i].ljust(width, b"\0") for i in own), np.uint8).reshape(len(own), width)
+        part = h[own]
+        with np.errstate(over="ignore"):
+            for j in range(width):
+                part = np.where(n > j, (part ^ rows[:, j]) * np.uint64(FNV_PRIME), part)
+        h[own] = part
     crc = np.array([zlib.crc32(k) or NO_CRC for k in keys], np.uint64)
     return h, crc
 

@@ -40,3 +40,15 @@ def test_given_filters_mostly_hold_their_runs(spark, data):
     got = bloom.filter_health(spark.read.parquet(f"{data}/sst_entries.parquet"), spark.read.parquet(f"{data}/bloom_filters.parquet"))
     states = [r.state for r in got.collect()]
     assert states.count("sound") > 0.8 * len(states)
+
+
+def test_keys_of_very_unequal_length():
+    keys = [b"", b"a", b"x" * 70_000, bytes(range(256)), b"\0", b"\0\0"]
+
+    def fnv(key):
+        h = bloom.FNV_OFFSET
+        for c in key:
+            h = (h ^ c) * bloom.FNV_PRIME % 2**64
+        return h
+
+    assert bloom.hash_pair(keys)[0].tolist() == [fnv(k) for k in keys] and bloom.hash_pair([])[0].tolist() == []
